@@ -38,3 +38,18 @@ def to_arrow(points: np.ndarray, offsets: np.ndarray, valid: np.ndarray | None =
 def row_of(offsets: np.ndarray) -> np.ndarray:
     """Row number of every code point."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+
+
+def in_parts(batches, column: str, most: int = 1 << 20):
+    """Cut Arrow batches so that a part holds about ``most`` bytes of text (a longer row stands alone)."""
+    for batch in batches:
+        text = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string())
+        n = len(text)
+        if not n:
+            continue
+        offsets = np.frombuffer(text.buffers()[1], np.int64, count=n + 1, offset=text.offset * 8)
+        begin = 0
+        while begin < n:
+            end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + most, "right")) - 1)
+            yield batch.slice(begin, min(end, n) - begin)
+            begin = end

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import unify
+from pageloom.llm import encode, unify
 from pageloom.session import table
 
 
@@ -20,5 +20,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p6_ids": p6_ids}
 ORACLE_SQL: dict[str, str] = {}

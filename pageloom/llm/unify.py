@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.arrowtext import row_of, to_arrow, to_code_points
+from pageloom.llm.arrowtext import in_parts, row_of, to_arrow, to_code_points
 
 # Letters of other scripts drawn like a Latin letter.
 CYRILLIC = dict(zip("аеорсухѕіјһԁԛԝӏАВЕКМНОРСТУХЅІЈԚԜҮ", "aeopcyxsijhdqwlABEKMHOPCTYXSIJQWY", strict=True))
@@ -289,7 +289,7 @@ def unify(df: DataFrame, text: str, out: str = "unified") -> DataFrame:
     schema = df.drop(out).withColumn(out, F.lit(None).cast("string")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, text):
             column = unify_array(batch.column(batch.schema.get_field_index(text)))
             names = [x for x in batch.schema.names if x != out]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(x)) for x in names), column], [*names, out])
