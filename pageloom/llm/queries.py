@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import encode, garbled, unify
-from pageloom.session import table
+from pageloom.llm import encode, garbled, mix, unify
+from pageloom.session import materialize, table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,20 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the documents, written once: they are read for the rates and again for the mix."""
+    counts = encode.token_counts(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text")
+    return materialize(counts, "sizes")
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"), "doc_id", "source", "n_tokens")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.shares(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.restore(table(spark, sf_dir, "documents"), "doc_id", "text").where("size(pairs) > 0").select("doc_id").distinct()
 
@@ -32,5 +46,5 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.restore(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p6_ids": p6_ids, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
 ORACLE_SQL: dict[str, str] = {}
