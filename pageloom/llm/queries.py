@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import encode, garbled, mix, unify
+from pageloom.llm import encode, garbled, mix, pieces, unify
 from pageloom.session import materialize, table
 
 
@@ -20,6 +20,21 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+PARENT_LIMIT, CHILD_LIMIT, OVERLAP = 4000, 300, 60
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [
+        pieces.oversized(table(spark, sf_dir, name), key, text, limit, OVERLAP).select(F.lit(origin).alias("origin"), F.col(key).alias("item_key"), "chunk_index", "content")
+        for origin, name, key, text, limit in (("parent", "parent_chunks", "parent_id", "page_content", PARENT_LIMIT), ("child", "child_chunks", "child_id", "content", CHILD_LIMIT))
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_pieces(spark, sf_dir).where("chunk_index = 0").select("origin", "item_key").distinct()
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -46,5 +61,11 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.restore(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
+ORACLE_SQL: dict[str, str] = {
+    "p4_found": """
+        SELECT DISTINCT 'parent' AS origin, parent_id AS item_key FROM parent_chunks WHERE length(page_content) > 4000
+        UNION ALL
+        SELECT DISTINCT 'child' AS origin, child_id AS item_key FROM child_chunks WHERE length(content) > 300
+    """,
+}
