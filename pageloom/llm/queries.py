@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import encode, garbled, mix, pieces, unify
+from pageloom.llm import encode, garbled, mix, nearest, pieces, unify
 from pageloom.session import materialize, table
 
 
@@ -35,6 +35,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).where("chunk_index = 0").select("origin", "item_key").distinct()
 
 
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "child_chunks"), "child_id", "embedding")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = p5_neighbours(spark, sf_dir).where("sim >= 0.85")
+    return near.select(F.least("child_id", "neighbour").alias("child_a"), F.greatest("child_id", "neighbour").alias("child_b")).distinct()
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -61,7 +70,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.restore(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
 ORACLE_SQL: dict[str, str] = {
     "p4_found": """
         SELECT DISTINCT 'parent' AS origin, parent_id AS item_key FROM parent_chunks WHERE length(page_content) > 4000
