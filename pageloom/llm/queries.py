@@ -8,10 +8,22 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import encode, garbled, mix, nearest, pieces, unify
+from pageloom.llm import encode, garbled, mix, nearest, pairs, pieces, unify
 from pageloom.session import materialize, table
 
 
+def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [
+        pairs.defects(table(spark, sf_dir, origin), key, question, answer).select(F.lit(origin).alias("origin"), "pair_key", "defect")
+        for origin, key, question, answer in (("session_turns", "id", "user_original", "assistant_final"), ("eval_questions", "question_id", "question", "reference_answer"))
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_pairs(spark, sf_dir).where("defect is not null")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [
         unify.look_alikes(table(spark, sf_dir, "child_chunks"), "child_id", "content").select(F.lit("child_chunks").alias("origin"), "key_a", "key_b"),
@@ -70,7 +82,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.restore(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
 ORACLE_SQL: dict[str, str] = {
     "p4_found": """
         SELECT DISTINCT 'parent' AS origin, parent_id AS item_key FROM parent_chunks WHERE length(page_content) > 4000
