@@ -8,10 +8,18 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import encode, garbled, mix, nearest, pairs, pieces, unify
+from pageloom.llm import encode, garbled, mix, nearest, pairs, pieces, scans, unify
 from pageloom.session import materialize, table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.noise(table(spark, sf_dir, "page_blocks"))
+
+
+def p1_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repair(table(spark, sf_dir, "page_blocks"))
+
+
 def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [
         pairs.defects(table(spark, sf_dir, origin), key, question, answer).select(F.lit(origin).alias("origin"), "pair_key", "defect")
@@ -82,7 +90,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.restore(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
 ORACLE_SQL: dict[str, str] = {
     "p4_found": """
         SELECT DISTINCT 'parent' AS origin, parent_id AS item_key FROM parent_chunks WHERE length(page_content) > 4000
