@@ -26,7 +26,7 @@ BROADCAST_ROWS = 200_000  # a table of words or keys is broadcast only if it is
 # What recognition makes of a letter (read as, written).
 CONFUSIONS = [
     ("l", "i"), ("I", "l"), ("1", "l"), ("1", "i"), ("!", "i"), ("!", "l"), ("i", "l"), ("l", "I"), ("1", "I"), ("!", "I"), ("|", "l"), ("5", "s"), ("5", "S"), ("0", "o"), ("0", "O"), ("o", "0"),
-    ("9", "g"), ("6", "b"), ("6", "ó"), ("8", "B"), ("3", "e"), ("†", "t"), ("†", "T"), ("c", "e"), ("e", "c"), ("C", "E"), ("6", "B"), ("9", "G"), ("!", "l"), ("M", "IN"), ("VV", "W"), ("LI", "H"), ("II", "U"), ("L", "I"),
+    ("9", "g"), ("6", "b"), ("6", "ó"), ("6", "é"), ("8", "B"), ("3", "e"), ("†", "t"), ("†", "T"), ("c", "e"), ("e", "c"), ("C", "E"), ("6", "B"), ("9", "G"), ("!", "l"), ("M", "IN"), ("VV", "W"), ("LI", "H"), ("II", "U"), ("L", "I"),
     ("B", "ß"), ("ii", "u"), ("ii", "ü"), ("li", "h"), ("rn", "m"), ("cl", "d"), ("vv", "w"), ("m", "in"), ("m", "rn"), ("nn", "m"), ("d", "cl"), ("h", "li"), ("u", "ii"), ("tl", "d"),
 ]
 _HYPHENS = "-‐‑¬­"
@@ -40,8 +40,8 @@ def _trim(c: Column) -> Column:
 def fold(line: Column) -> Column:
     """A key under which a line equals its misread versions: numbers are #, look-alike letters are one."""
     c = _trim(line)
-    c = F.regexp_replace(c, r"(?<![\p{L}\p{N}])(?:[0-9lIOSB|!] )+[0-9lIOSB|!](?![\p{L}\p{N}])", "#")
-    c = F.regexp_replace(c, rf"(?<![\p{{L}}\p{{N}}!|])(?=[{_DIGIT}]*[0-9])[{_DIGIT}]+(?![\p{{L}}\p{{N}}†!|])", "#")
+    c = F.regexp_replace(c, r"(?<![\p{IsLatin}\p{N}])(?:[0-9lIOSB|!] )+[0-9lIOSB|!](?![\p{IsLatin}\p{N}])", "#")
+    c = F.regexp_replace(c, rf"(?<![\p{{IsLatin}}\p{{N}}!|])(?=[{_DIGIT}]*[0-9])[{_DIGIT}]+(?![\p{{IsLatin}}\p{{N}}†!|])", "#")
     c = F.translate(F.lower(c), "1!|lr056†9cß", "iiiiiosbtgeb")
     for long, short in (("h", "ii"), ("u", "ii"), ("m", "in"), ("d", "ei"), ("w", "vv")):
         c = F.replace(c, F.lit(long), F.lit(short))
@@ -62,7 +62,7 @@ def _roman(n: int) -> str:
 def _number(line: Column) -> Column:
     """The first number of a line, with digits that were read as letters put right."""
     joined = F.regexp_replace(_trim(line), r"(?<=^|[^\p{L}\p{N}])([0-9lIOSB|!]) (?=[0-9lIOSB|!](?:[^\p{L}\p{N}]|$))", "$1")
-    found = F.regexp_extract(joined, rf"(?<![\p{{L}}\p{{N}}!|])((?=[{_DIGIT}]*[0-9])[{_DIGIT}]+)", 1)
+    found = F.regexp_extract(joined, rf"(?<![\p{{IsLatin}}\p{{N}}!|])((?=[{_DIGIT}]*[0-9])[{_DIGIT}]+)", 1)
     return F.translate(found, "lI|!iOoSBZ", "1111100582").try_cast("int")
 
 
@@ -170,9 +170,16 @@ def _value(text: str) -> int:
     return sum(ord(c) ** 3 for c in text)
 
 
-def body_text(body: DataFrame) -> DataFrame:
-    """(block_id, text): the body of each block, code and divisions at line ends taken out."""
+def body_text(body: DataFrame, cuts: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(block_id, text): the body of each block without code; words divided at line ends are whole.
+
+    The two parts of a word divided between pages are no words of either.
+    """
     kept = body.where("kind not in ('code', 'blank')")
+    over = cuts.where("joins = -1").select("block_id", "line_no", F.lit(True).alias("over"))
+    after = over.select("block_id").distinct().join(blocks.select("block_id", "source_file", "page_pos"), "block_id").select("source_file", (F.col("page_pos") + 1).alias("page_pos"), F.lit(True).alias("given")).distinct()
+    kept = kept.join(over, ["block_id", "line_no"], "left").join(after, ["source_file", "page_pos"], "left")
+    kept = kept.withColumn("line", F.when(F.col("over"), F.regexp_replace("line", r"\S+$", "")).when(F.col("given") & (F.row_number().over(Window.partitionBy("block_id").orderBy("line_no")) == 1), F.regexp_replace("line", r"^\s*\S+", "")).otherwise(F.col("line")))
     text = kept.groupBy("block_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
     text = text.withColumn("text", F.regexp_replace("text", rf"(?<=\p{{L}})[{_HYPHENS}]\n\s*(?=\p{{Ll}})", ""))
     return text.withColumn("text", F.regexp_replace("text", r"(?<=[\p{IsHan}，。：；、“”（）])\n\s*(?=[\p{IsHan}，。：；、“”（）])", ""))
@@ -253,13 +260,14 @@ def analyse(df: DataFrame) -> dict[str, DataFrame]:
     blocks = materialize(blocks_of(df), "blocks")
     lines = materialize(layout(lines_of(blocks), blocks), "lines")
     body = lines.where("layout is null")
-    text = materialize(body_text(body), "bodies")
+    cuts = materialize(divided(body), "divided")
+    text = materialize(body_text(body, cuts, blocks), "bodies")
     words = words_of(text)
     fixes = corrections(words)
     wrong = sized_join(words, fixes, ["word"], "inner").select("block_id", "word", "correction")
     tri, pairs = ideographs(text)
     wrong_han = sized_join(tri, pairs, ["tri"], "inner").select("block_id", F.col("tri").alias("word"), "correction")
-    return {"blocks": blocks, "lines": lines, "divided": divided(body), "misread": wrong.unionByName(wrong_han)}
+    return {"blocks": blocks, "lines": lines, "divided": cuts, "misread": wrong.unionByName(wrong_han)}
 
 
 def noise(df: DataFrame) -> DataFrame:
@@ -353,7 +361,7 @@ def repair(df: DataFrame) -> DataFrame:
     code stay lines of their own. A block of a null or empty text comes out empty.
     """
     t = analyse(df)
-    cuts = materialize(t["divided"], "divided")
+    cuts = t["divided"]
     body = t["lines"].where("layout is null").join(cuts, ["block_id", "line_no"], "left")
     first = body.where("kind <> 'blank'").groupBy("source_file", "page_pos").agg(F.min_by("line", "line_no").alias("line"))
     over = cuts.where("joins = -1").join(t["blocks"].select("block_id", "source_file", "page_pos"), "block_id")
