@@ -51,3 +51,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/pageloom-{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever the driver was started; once for each context."""
+    context = spark.sparkContext
+    if getattr(context, "_pageloom_shipped", False):
+        return
+    import shutil
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="pageloom-code-")
+    package = os.path.join(folder, "pageloom")
+    shutil.copytree(os.path.join(root, "pageloom"), os.path.join(folder, "src", "pageloom"), ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(package, "zip", os.path.join(folder, "src")))
+    context._pageloom_shipped = True
