@@ -123,6 +123,10 @@ class _Tables:
         self.ambiguous = np.zeros((5, 0x80), bool)
         for kind in (2, 3, 4):
             self.ambiguous[kind] = self.back[kind] != np.arange(0x80)
+        # letters that words of nothing but look-alikes are made of in the languages of the script
+        self.usual = self.ambiguous.copy()
+        for c in "sijhdqwlSIJQW":
+            self.usual[2][ord(c)] = False
 
 
 @lru_cache(1)
@@ -206,17 +210,18 @@ def _scripts(points: np.ndarray, offsets: np.ndarray, t: _Tables) -> np.ndarray:
     out = points.copy()
     low = points < 0x80
     for k in (2, 3, 4):
-        ambiguous = np.zeros(len(points), bool)
-        ambiguous[low] = t.ambiguous[k][points[low]]
+        ambiguous, usual = np.zeros(len(points), bool), np.zeros(len(points), bool)
+        ambiguous[low], usual[low] = t.ambiguous[k][points[low]], t.usual[k][points[low]]
         sure = kind == k
         if not sure.any():
             continue
         latin = (kind == 1) & ~ambiguous
+        unusual = np.bincount(word[inside], ((kind == 1) & ~usual)[inside], n) > 0
         has_sure = np.bincount(word[inside], sure[inside], n) > 0
         has_latin = np.bincount(word[inside], latin[inside], n) > 0
         lead = np.bincount(row, sure, rows) > np.bincount(row, latin, rows)
         first = np.flatnonzero(begin)
-        take = ~has_latin & (has_sure | lead[row[first]])
+        take = ~has_latin & (has_sure | lead[row[first]] & ~unusual)
         change = inside[take[word[inside]] & ambiguous[inside]]
         out[change] = t.back[k][points[change]]
     return out
