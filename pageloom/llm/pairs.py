@@ -9,6 +9,7 @@ tables tells whether an answer is complete or ``truncated``.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,7 +40,7 @@ def is_empty(answer: str | None) -> bool:
 
 
 # ---- copy --------------------------------------------------------------------------------------
-_TOKEN = regex.compile(r"\p{Han}|[\p{Hiragana}\p{Katakana}]+|[\p{L}\p{N}\p{M}]+")
+_TOKEN = regex.compile(r"[\p{L}\p{N}]+(?:[-_][\p{L}\p{N}]+)+|\p{Han}|[\p{Hiragana}\p{Katakana}]+|[\p{L}\p{N}\p{M}]+")  # a name with hyphens is one word
 # Words that frame a repeated question.
 FRAME = set("q a question answer user assistant you asked ask your was is frage antwort pregunta respuesta pergunta resposta réponse вопрос ответ 问 答 问题 回答".split())
 
@@ -81,14 +82,20 @@ def tile(answer: list[str], question: list[str], least: int = 2) -> tuple[int, i
             return sum(taken_a), sum(used_q)
 
 
+def _plain(text: str) -> str:
+    """Lower case without accents and raised figures: a slightly changed question is the same."""
+    low = text.lower()
+    return low if low.isascii() else "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
+
+
 def is_copy(question: str | None, answer: str) -> bool:
     if not question:
         return False
-    q, a = _TOKEN.findall(question.lower()), _TOKEN.findall(answer.lower())
-    core = [x for k, x in enumerate(a) if x not in FRAME or (x in q and k > 2)]
+    q, a = _TOKEN.findall(_plain(question)), _TOKEN.findall(_plain(answer))
+    known = set(q)
+    core = [x for x in a if x not in FRAME or x in known]
     if len(q) < 3 or len(core) < 0.7 * len(q):
         return False
-    known = set(q)
     if sum(x in known for x in core) < 0.75 * len(core):
         return False
     covered, used = tile(core, q)
@@ -132,7 +139,7 @@ def _declines() -> list[tuple[regex.Pattern, regex.Pattern]]:
     return [(regex.compile(_CAN_NOT[k], regex.I), regex.compile(_SPEECH[k], regex.I)) for k in _CAN_NOT]
 
 
-_SELF = regex.compile(r"\b(?:I|me|my|I'm|I'd|ich|mir|mich|je|j|me|mes|yo|mi|mis|eu|me|meu|minhas?|я|мне|мой|мои|меня|this (?:request|question|topic)|ce sujet|cette question|este tema|dazu|darf|puedo|posso|могу|вправе|lamento|siento)\b|我|该问题|这个(?:请求|问题)|恕|本人", regex.I)
+_SELF = regex.compile(r"\b(?:I|me|my|I'm|I'd|ich|mir|mich|je|j|me|mes|yo|mi|mis|eu|me|meu|minhas?|я|мне|мой|мои|меня|this (?:request|question|topic)|ce sujet|cette question|este tema|dazu|darf|puedo|prefiero|prefiro|debo|devo|posso|могу|вправе|lamento|siento|préfère)\b|我|该问题|这个(?:请求|问题)|恕|本人", regex.I)
 
 
 def declines(sentence: str) -> bool:
@@ -293,7 +300,7 @@ def is_truncated(answer: str) -> bool:
     words = [w for w in _WORD.findall(last.lower().replace("'", "’"))]
     if words and len(tokens) > 2 and words[-1] in _OWN:
         return True
-    return len(tokens) > 4
+    return len(tokens) > 4 or len(words) > 3 and last[0].isupper()
 
 
 def defect(question: str | None, answer: str | None) -> str | None:
