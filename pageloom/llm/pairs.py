@@ -171,7 +171,7 @@ WORDS = {
 }
 _OWN = {w: [k for k in WORDS if w in WORDS[k]] for k in WORDS for w in WORDS[k]}
 LETTERS = {"de": "äöüß", "fr": "èêëîïûùœæ", "es": "ñ¿¡", "pt": "ãõ"}
-_NAMES = regex.compile(r"```.*?(?:```|$)|`[^`\n]*`|《[^》]*》|“[^”]{0,40}”|「[^」]*」|\b\w{1,6}\([^()\n]{0,40}\)|\S*[_\d]\S*|https?://\S+", regex.S)
+_NAMES = regex.compile(r"```.*?(?:```|$)|`[^`\n]*`|《[^》]*》|“[^”]{0,40}”|「[^」]*」|\b\w{1,6}\([^()\n]{0,40}\)|https?://\S+|[\p{Latin}\d_.-]*[_\d][\p{Latin}\d_.-]*", regex.S)
 _WORD = regex.compile(r"[\p{Latin}\p{M}’']+")
 _HAN, _CYRILLIC, _LATIN = regex.compile(r"\p{Han}"), regex.compile(r"\p{Cyrillic}"), regex.compile(r"\p{Latin}")
 # Names of languages, in the languages themselves.
