@@ -91,7 +91,7 @@ GLYPHS = {0xF0D8: "•", 0xF09C: "–", 0xF0B7: "•", 0xF0A7: "◆", 0xF0FC: "
 
 
 def without_private_use(c: Column) -> Column:
-    return F.regexp_replace(F.translate(c, "".join(map(chr, GLYPHS)), "".join(GLYPHS.values())), "[-]+", "")
+    return F.regexp_replace(F.translate(c, "".join(map(chr, GLYPHS)), "".join(GLYPHS.values())), "[\\uE000-\\uF8FF]+", "")
 
 
 def leading_digits(c: Column) -> Column:
@@ -117,7 +117,7 @@ def sources_block(c: Column) -> Column:
 
 def course_names(c: Column) -> Column:
     """Names divided by commas, semicolons or line breaks, each once whatever its case, in order."""
-    parts = F.filter(F.transform(F.split(c, r"[,，\n;；]+"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(c, r"[,，\n;；]+"), lambda x: F.trim(x)), lambda x: x != "")
     lowered = F.transform(parts, F.lower)
     return F.filter(F.transform(parts, lambda x, i: F.when(F.array_position(lowered, F.lower(x)) == i + 1, x)), lambda x: x.isNotNull())
 

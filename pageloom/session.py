@@ -37,8 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="pageloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="pageloom-"))
+        base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
 
 
