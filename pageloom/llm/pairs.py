@@ -48,7 +48,8 @@ FRAME = set("q a question answer user assistant you asked ask your was is frage
 def tile(answer: list[str], question: list[str], least: int = 2) -> tuple[int, int]:
     """Greedy string tiling: tokens of the answer and of the question covered by common tiles.
 
-    The question may be used again for what it left of the answer, so repeating it is covered too.
+    The question may be used again for what it left of the answer, but then in long tiles only: an
+    answer that gives it back twice is covered, one that goes on in the question's words isn't.
     """
     places: dict[tuple[str, ...], list[int]] = {}
     least = min(least, len(question), len(answer)) or 1
@@ -57,8 +58,9 @@ def tile(answer: list[str], question: list[str], least: int = 2) -> tuple[int, i
     taken_a, used_q = [False] * len(answer), [False] * len(question)
     while True:
         taken_q, any_tile = [False] * len(question), False
+        shortest = least if not any(used_q) else max(least, (3 * len(question) + 4) // 5)
         while True:
-            best, tiles = least - 1, []
+            best, tiles = shortest - 1, []
             for i in range(len(answer) - least + 1):
                 if taken_a[i]:
                     continue
@@ -68,9 +70,9 @@ def tile(answer: list[str], question: list[str], least: int = 2) -> tuple[int, i
                         n += 1
                     if n > best:
                         best, tiles = n, [(i, j)]
-                    elif n == best and n >= least:
+                    elif n == best and n >= shortest:
                         tiles.append((i, j))
-            if best < least:
+            if best < shortest:
                 break
             for i, j in tiles:
                 if not any(taken_a[i : i + best]) and not any(taken_q[j : j + best]):
