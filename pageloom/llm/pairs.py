@@ -61,13 +61,17 @@ def tile(answer: list[str], question: list[str], least: int = 2) -> tuple[int, i
         shortest = least if not any(used_q) else max(least, (3 * len(question) + 4) // 5)
         while True:
             best, tiles = shortest - 1, []
+            seen: dict[int, int] = {}  # how far each diagonal is known: what begins inside a match is its end
             for i in range(len(answer) - least + 1):
                 if taken_a[i]:
                     continue
                 for j in places.get(tuple(answer[i : i + least]), ()):
+                    if i < seen.get(j - i, 0):
+                        continue
                     n = 0
                     while i + n < len(answer) and j + n < len(question) and answer[i + n] == question[j + n] and not taken_a[i + n] and not taken_q[j + n]:
                         n += 1
+                    seen[j - i] = i + n
                     if n > best:
                         best, tiles = n, [(i, j)]
                     elif n == best and n >= shortest:

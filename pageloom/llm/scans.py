@@ -114,7 +114,7 @@ def layout(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     is_roman = F.lower(_trim("line")).rlike(r"^[-–—~·\[( ]*[ivxlc1!]+[-–—~·\]) ]*$") & F.lower("line").rlike("[ivxlc]") & ~F.col("line").rlike(r"[IL]\p{Ll}")
     romans = F.broadcast(lines.sparkSession.createDataFrame([(_roman(k), k) for k in range(1, 1000)], "roman string, roman_value int"))
     edge = edge.withColumn("roman", F.when(is_roman, F.translate(F.lower(F.regexp_replace("line", r"[^\p{L}1!]", "")), "1!", "ii")))
-    edge = edge.join(romans, "roman", "left")
+    edge = materialize(edge.join(romans, "roman", "left").select("block_id", "source_file", "page_pos", "line_no", "line", "kind", "top", "bottom", "key", "roman_value"), "edges")
     numbered = edge.where(F.col("key").rlike(_PAGE_KEY) | F.col("roman_value").isNotNull()).withColumn("value", F.coalesce("roman_value", _number(F.col("line")))).where("value is not null")
     numbered = numbered.withColumn("offset", F.col("value") - F.col("page_pos"))
     # the offset most pages of a file agree on
@@ -203,14 +203,15 @@ def corrections(words: DataFrame) -> DataFrame:
     """
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     counts = materialize(counts.withColumn("h", _hash(F.col("word"))).withColumn("odd", F.col("word").rlike(r"[†!|]|\p{L}[0-9]+\p{L}|^[0-9]\p{Ll}{2}|\p{Ll}{3}[0-9]$")), "words")
-    single = list(dict.fromkeys(CONFUSIONS))
-    steps = [(a, "", b, "", _value(a) - _value(b), 1) for a, b in single]
-    steps += [(a, c, b, d, _value(a) - _value(b) + _value(c) - _value(d), 2) for i, (a, b) in enumerate(single) for c, d in single[i:]]
-    literal = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(c).alias("c"), F.lit(b).alias("b"), F.lit(d).alias("d"), F.lit(v).cast("bigint").alias("v"), F.lit(k).alias("steps")) for a, c, b, d, v, k in steps))
+    single = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(_value(a) - _value(b)).cast("bigint").alias("v")) for a, b in dict.fromkeys(CONFUSIONS)))
     # a model is a plain word; what can be misread has the marks of the confusion in it
     models = counts.where(~F.col("odd") & ~F.col("word").rlike(r"[0-9]") & (F.length("word") >= 2)).select(F.col("word").alias("correction"), F.col("n").alias("m"), "h")
-    able = F.filter(literal, lambda s: F.contains(F.col("word"), s["a"]) & ((s["steps"] == 1) | F.contains(F.col("word"), s["c"])) & ((s["steps"] == 1) | (F.length("word") >= 5)))
-    tries = counts.where((F.length("word") >= 3) | F.col("odd") & (F.length("word") >= 2)).select("word", "n", "odd", F.explode(able).alias("s"), "h").withColumn("h", F.col("h") - F.col("s.v"))
+    tries = counts.where((F.length("word") >= 3) | F.col("odd") & (F.length("word") >= 2)).withColumn("one", F.filter(single, lambda x: F.contains(F.col("word"), x["a"])))
+    step = lambda x, y, k: F.struct(x["a"].alias("a"), (y["a"] if k == 2 else F.lit("")).alias("c"), x["b"].alias("b"), (y["b"] if k == 2 else F.lit("")).alias("d"), (x["v"] + y["v"] if k == 2 else x["v"]).alias("v"), F.lit(k).alias("steps"))
+    ones = F.transform("one", lambda x: step(x, x, 1))
+    twos = F.flatten(F.transform("one", lambda x, i: F.transform(F.slice("one", i + 1, F.size("one")), lambda y: step(x, y, 2))))
+    able = F.when(F.length("word") >= 5, F.concat(ones, twos)).otherwise(ones)
+    tries = tries.select("word", "n", "odd", F.explode(able).alias("s"), "h").withColumn("h", F.col("h") - F.col("s.v"))
     pairs = tries.join(models, "h").where((F.col("m") >= F.lit(RATIO) * F.col("n")) | F.col("odd") & (F.col("m") > F.col("n")))
     pairs = pairs.where(F.col("odd") | (F.length("word") >= 4) | (F.col("m") >= 40 * F.col("n")))
     # equal hashes may be chance or another order: the one word must be made of the other by these steps
