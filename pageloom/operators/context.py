@@ -103,3 +103,21 @@ def research(hits: DataFrame, parent_rows: DataFrame, children: DataFrame, windo
     diagnostics = F.struct(F.col("policy").alias("context_policy"), F.col("reason").alias("context_policy_reason"), F.coalesce(F.size("contexts"), F.lit(0)).alias("n_contexts"), F.when(empty, "insufficient").otherwise("sufficient").alias("evidence_status"))
     fields = [F.col("query"), F.coalesce("contexts", F.array()).alias("contexts"), F.coalesce("sources", F.array()).alias("sources"), F.coalesce("parent_ids", F.array()).alias("parent_ids"), F.when(empty, F.array(F.lit("NO_RELEVANT_CHUNKS"))).otherwise(F.array()).alias("gaps"), diagnostics.alias("diagnostics")]
     return out.select("qid", F.to_json(F.struct(*fields)).alias("result"))
+
+
+def hits_text(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, text): hits (qid, rank, parent_id, source, content) as text, NO_RELEVANT_CHUNKS for a query without any."""
+    part = F.concat(F.lit("Parent ID: "), F.coalesce("parent_id", F.lit("")), F.lit("\nFile Name: "), F.coalesce("source", F.lit("")), F.lit("\nContent: "), T.strip(F.coalesce("content", F.lit(""))))
+    text = hits.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", part.alias("t")))), lambda x: x["t"]), "\n\n").alias("text"))
+    return queries.select("qid").distinct().join(text, "qid", "left").select("qid", F.coalesce("text", F.lit("NO_RELEVANT_CHUNKS")).alias("text"))
+
+
+def parents_text(asked: DataFrame, parent_rows: DataFrame) -> DataFrame:
+    """(qid, text): the stored parents of asked ids (qid, parent_id) in their order, NO_PARENT_DOCUMENTS for none."""
+    ids = asked.distinct().join(parent_rows, "parent_id", "left")
+    source = F.coalesce(F.get_json_object("metadata", "$.source"), F.lit("unknown"))
+    part = F.concat(F.lit("Parent ID: "), "parent_id", F.lit("\nFile Name: "), source, F.lit("\nContent: "), T.strip(F.coalesce("page_content", F.lit(""))))
+    page = F.coalesce(F.regexp_extract("parent_id", r"_page_(\d+)_parent_", 1).try_cast("int"), F.lit(0))
+    stored = F.when(F.col("page_content").isNotNull(), F.struct(T.parent_ordinal(F.col("parent_id")).alias("o"), page.alias("p"), F.col("parent_id").alias("i"), part.alias("t")))
+    text = ids.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(stored)), lambda x: x["t"]).alias("ts"))
+    return text.select("qid", F.when(F.size("ts") > 0, F.array_join("ts", "\n\n")).otherwise("NO_PARENT_DOCUMENTS").alias("text"))

@@ -154,3 +154,12 @@ def rerank(candidates: DataFrame, score: Column | None, top: int, threshold: flo
     if threshold is not None:
         scored = scored.where(F.col("rerank_score") >= threshold)
     return top_k(scored.withColumnRenamed("rank", "was"), top, ["qid"], [F.desc(F.round("rerank_score", 9)), "was"]).withColumnRenamed("rank", "rerank_rank").withColumnRenamed("was", "rank")
+
+
+def search(mode: str, dense: DataFrame | None, sparse: DataFrame | None, limit: int, rrf_k: int = 60) -> DataFrame:
+    """(qid, id, rank) by mode: the dense list, the sparse one, or both fused; any other mode is an error."""
+    if mode == "rrf":
+        return fuse([dense, sparse], rrf_k, limit).select("qid", "id", "rank")
+    if mode in ("dense", "sparse"):
+        return (dense if mode == "dense" else sparse).where(F.col("rank") <= limit).select("qid", "id", "rank")
+    raise ValueError(f"unknown retrieval mode: {mode}")

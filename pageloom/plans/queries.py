@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.functions import text as T
-from pageloom.operators import agent, chunking, clean, context, courses, evaluation, manifest, pages, retrieval, sessions
+from pageloom.operators import ablation, agent, chunking, clean, context, courses, evaluation, images, manifest, pages, retrieval, sessions
 from pageloom.session import table
 from pageloom.sources import readers, sinks
 from pageloom.streaming import incremental
@@ -415,6 +415,59 @@ def research(spark, d):
     return context.research(q.join(c, "qid", "left"), _parents(spark, d), _children(spark, d).select("child_id", "parent_id", "chunk_index", "source_file", "content"))
 
 
+@query(f"""WITH {_CANDIDATES} SELECT q.question_id AS qid, md5(coalesce(string_agg('Parent ID: ' || coalesce(parent_id, '') || chr(10) || 'File Name: ' || coalesce(source, '') || chr(10) || 'Content: ' || {STRIP.format("coalesce(content, '')")}, chr(10) || chr(10) ORDER BY rank) FILTER (WHERE rank IS NOT NULL), 'NO_RELEVANT_CHUNKS')) AS h
+ FROM (SELECT question_id FROM {QUESTIONS}) q LEFT JOIN (SELECT * FROM cand WHERE rank <= 5) c USING (question_id) GROUP BY ALL""")
+def hits_text(spark, d):
+    hits = _candidates(spark, d).where("rank <= 5").withColumnRenamed("question_id", "qid")
+    return context.hits_text(hits, _questions(spark, d).select(F.col("question_id").alias("qid"))).select("qid", F.md5("text").alias("h"))
+
+
+@query(f"""
+WITH a AS (SELECT DISTINCT question_id AS qid, unnest(gold_parent_ids) AS parent_id FROM {QUESTIONS}), j AS (SELECT a.qid, a.parent_id, p.page_content, coalesce(json_extract_string(p.metadata, '$.source'), 'unknown') AS src, coalesce(TRY_CAST(regexp_extract(a.parent_id, '_parent_(\\d+)$', 1) AS INT), 0) AS o, coalesce(TRY_CAST(regexp_extract(a.parent_id, '_page_(\\d+)_parent_', 1) AS INT), 0) AS pg FROM a LEFT JOIN {PARENTS} p USING (parent_id))
+SELECT qid, md5(coalesce(string_agg('Parent ID: ' || parent_id || chr(10) || 'File Name: ' || src || chr(10) || 'Content: ' || {STRIP.format("page_content")}, chr(10) || chr(10) ORDER BY o, pg, parent_id) FILTER (WHERE page_content IS NOT NULL), 'NO_PARENT_DOCUMENTS')) AS h FROM j GROUP BY ALL""")
+def parents_text(spark, d):
+    asked = _questions(spark, d).select(F.col("question_id").alias("qid"), F.explode("gold_parent_ids").alias("parent_id"))
+    return context.parents_text(asked, _parents(spark, d).select("parent_id", "page_content", "metadata")).select("qid", F.md5("text").alias("h"))
+
+
+@query(f"SELECT qid, id, rank FROM {_RANKED} WHERE rank <= 20")
+def search_dense_mode(spark, d):
+    return retrieval.search("dense", _dense(spark, d, 70), None, 20).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+_IMAGES = "im AS (SELECT doc_id, unnest(['img%20' || doc_id || '.png', 'http://x/' || doc_id || '.png', 'a.png']) AS path, unnest([0, 1, 2]) AS ref_no FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '!\\[[^\\]]*\\]\\('))"
+
+
+def _illustrated(spark, d):
+    docs = table(spark, d, "documents").where("text is not null").where(~F.col("text").rlike(r"!\[[^\]]*\]\("))
+    i = F.col("doc_id").cast("string")
+    return docs.select("doc_id", F.concat("text", F.lit("\n![one](img%20"), i, F.lit('.png "a title")\n![two](http://x/'), i, F.lit(".png)\n![three](<a.png>)\n")).alias("text"))
+
+
+@query(f"WITH {_IMAGES} SELECT doc_id, ref_no, replace(path, '%20', ' ') AS path, starts_with(path, 'http') AS is_remote FROM im")
+def image_references(spark, d):
+    """Three references are added to every document: with a title, remote, in angle brackets."""
+    return images.references(_illustrated(spark, d), "doc_id", "text")
+
+
+@query(f"WITH {_IMAGES} SELECT doc_id, ref_no, replace(path, '%20', ' ') AS path FROM im WHERE ref_no = 0 OR (ref_no = 2 AND false)")
+def image_selection(spark, d):
+    sizes = spark.createDataFrame([("a.png", 10, 10)], "path string, width int, height int")
+    return images.describable(images.references(_illustrated(spark, d), "doc_id", "text"), "doc_id", sizes, 64, 64)
+
+
+@query()
+def image_contexts(spark, d):
+    return images.contexts(_illustrated(spark, d), "doc_id", "text")
+
+
+@query()
+def image_enrichment(spark, d):
+    docs = _illustrated(spark, d)
+    notes = images.references(docs, "doc_id", "text").where("ref_no = 0").select("doc_id", "ref_no", F.concat(F.lit("RAG_SUMMARY: picture "), "path").alias("description"))
+    return images.enrich(docs, "doc_id", "text", notes)
+
+
 # ---- evaluation ----------------------------------------------------------------------------------
 _G = f"""q AS (SELECT question_id, source_file, list_distinct(list_filter(coalesce(gold_child_ids, []), lambda x: x IS NOT NULL)) AS cg, list_distinct(list_filter(coalesce(gold_parent_ids, []), lambda x: x IS NOT NULL)) AS pg,
    list_distinct(list_filter(coalesce(gold_source_files, []), lambda x: x IS NOT NULL)) AS sg FROM {QUESTIONS}),
@@ -560,6 +613,44 @@ def order_metrics(spark, d):
     return _tidy(evaluation.order_metrics(ranked))
 
 
+def _ablation(spark, d):
+    q = _with_most(spark, d).select("question_id", context.ablation_policy(F.col("question"), F.coalesce("most_hits", F.lit(0))).alias("policy"), "question_type")
+    hits = _candidates(spark, d).where("rank <= 5").join(q, "question_id").select(F.col("question_id").alias("qid"), "rank", F.col("child_id").alias("chunk_id"), "parent_id", "policy")
+    chunks = _children(spark, d).select(F.col("child_id").alias("chunk_id"), "parent_id", F.coalesce(F.length("content"), F.lit(0)).alias("chars"))
+    parents = _parents(spark, d).select("parent_id", F.coalesce(F.length("page_content"), F.lit(0)).alias("chars"))
+    return q.withColumnRenamed("question_id", "qid"), ablation.context_costs(ablation.contexts(hits, chunks, parents), q.select(F.col("question_id").alias("qid")))
+
+
+_ABLATION = f"""{_MOST}, pol AS (SELECT question_id AS qid, question_type, CASE WHEN {_any(context.ABLATION_BROAD)} THEN 'parent' WHEN coalesce(most_hits, 0) >= 2 THEN 'neighbor' WHEN {_any(context.ABLATION_FACT)} THEN 'child' ELSE 'neighbor' END AS policy FROM {QUESTIONS} LEFT JOIN m USING (question_id)),
+ hits AS (SELECT qid, policy, child_id, parent_id FROM cand JOIN pol ON qid = question_id WHERE rank <= 5),
+ ch2 AS (SELECT child_id, parent_id, coalesce(length(content), 0) AS chars, coalesce(TRY_CAST(regexp_extract(child_id, '_child_(\\d+)$', 1) AS INT), 0) AS o FROM {CHILDREN}),
+ ctx AS (SELECT qid, h.child_id AS c, chars FROM hits h JOIN ch2 USING (child_id) WHERE policy = 'child' UNION SELECT qid, s.child_id, s.chars FROM hits h JOIN ch2 a ON a.child_id = h.child_id JOIN ch2 s ON s.parent_id = h.parent_id AND abs(s.o - a.o) <= 1 WHERE policy = 'neighbor'
+   UNION SELECT qid, h.parent_id, coalesce(length(page_content), 0) FROM hits h JOIN {PARENTS} p ON p.parent_id = h.parent_id WHERE policy = 'parent'),
+ costs AS (SELECT pol.qid, question_type, count(c) AS context_count, coalesce(sum(chars), 0) AS context_chars FROM pol LEFT JOIN ctx USING (qid) GROUP BY ALL)"""
+
+
+@query(f"{_ABLATION} SELECT qid, context_count, CAST(context_chars AS BIGINT) AS context_chars FROM costs")
+def ablation_contexts(spark, d):
+    return _ablation(spark, d)[1]
+
+
+@query(f"{_ABLATION} SELECT question_type, count(*) AS n, min(context_count) AS context_count_min, max(context_count) AS context_count_max, round(avg(context_count), 6) AS context_count_avg, CAST(min(context_chars) AS BIGINT) AS context_chars_min, CAST(max(context_chars) AS BIGINT) AS context_chars_max, round(avg(context_chars), 6) AS context_chars_avg FROM costs GROUP BY ALL")
+def context_stats(spark, d):
+    q, costs = _ablation(spark, d)
+    return _tidy(ablation.summary(costs.join(q.select("qid", "question_type"), "qid"), "question_type"))
+
+
+@query(f"""
+WITH {_CANDIDATES}, gold AS (SELECT DISTINCT question_id AS qid, unnest(gold_parent_ids) AS doc FROM {QUESTIONS}), n AS (SELECT qid, count(*) AS n FROM gold GROUP BY ALL),
+ met AS (SELECT question_id AS qid, count(DISTINCT CASE WHEN rank <= 3 THEN doc END) AS h, min(rank) AS f FROM cand JOIN gold ON gold.qid = question_id AND doc = parent_id WHERE rank % 2 = 0 GROUP BY ALL)
+SELECT qid, CASE WHEN coalesce(h, 0) > 0 THEN 1.0 ELSE 0.0 END AS hit, round(coalesce(h, 0) / n, 6) AS doc_recall, round(coalesce(1.0 / f, 0), 6) AS mrr FROM n LEFT JOIN met USING (qid)""")
+def ablation_documents(spark, d):
+    """Every second candidate counts as found, parents as documents."""
+    hits = _candidates(spark, d).where("rank % 2 = 0").select(F.col("question_id").alias("qid"), "rank", F.col("parent_id").alias("doc"))
+    gold = _questions(spark, d).select(F.col("question_id").alias("qid"), F.explode("gold_parent_ids").alias("doc"))
+    return _tidy(ablation.document_scores(hits, gold, 3))
+
+
 # ---- sessions ------------------------------------------------------------------------------------
 @query(f"SELECT s.id, s.course_name, s.title, s.updated_at, count(t.id) AS turn_count FROM sessions s LEFT JOIN {TURNS} t ON t.session_id = s.id GROUP BY ALL")
 def list_sessions(spark, d):

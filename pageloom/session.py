@@ -54,14 +54,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, wherever the driver was started; once for each context."""
+    """Make this package importable in Python workers, wherever the driver was started; once for each context.
+
+    The archive lies in the shared folder where that is a mounted one.
+    """
     context = spark.sparkContext
     if getattr(context, "_pageloom_shipped", False):
         return
     import shutil
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp(prefix="pageloom-code-")
+    shared = shared_dir(spark)
+    folder = f"/{shared.removeprefix('file:').lstrip('/')}/pageloom-code-{uuid.uuid4().hex}" if shared.startswith("file:") else tempfile.mkdtemp(prefix="pageloom-code-")
     package = os.path.join(folder, "pageloom")
     shutil.copytree(os.path.join(root, "pageloom"), os.path.join(folder, "src", "pageloom"), ignore=shutil.ignore_patterns("__pycache__"))
     context.addPyFile(shutil.make_archive(package, "zip", os.path.join(folder, "src")))

@@ -83,3 +83,29 @@ def test_judge_rows(spark):
     assert s["rows"] == 3 and s.missing_rows == 1 and abs(s["mean"] - 0.8) < 1e-9
     f = {r.id: r.failure_type for r in evaluation.judge_failures(j, "id").collect()}
     assert f == {"1": "judge_metric_missing", "2": "insufficient_context", "4": "judge_metric_missing"}
+
+
+def test_images(spark):
+    from pageloom.operators import images
+
+    docs = spark.createDataFrame([(1, 'a ![x](b%20c.png "t") mid ![y](<d.png>) end ![z](http://h/e.png)'), (2, None), (3, "")], "id long, text string")
+    refs = images.references(docs, "id", "text")
+    assert [(r.path, r.is_remote) for r in refs.orderBy("ref_no").collect()] == [("b c.png", False), ("d.png", False), ("http://h/e.png", True)]
+    sizes = spark.createDataFrame([("d.png", 5, 5)], "path string, width int, height int")
+    assert [r.path for r in images.describable(refs, "id", sizes, 10, 10).collect()] == ["b c.png"]
+    assert images.contexts(docs, "id", "text").where("ref_no = 1").first().context == "a mid end"
+    notes = spark.createDataFrame([(1, 0, "note")], "id long, ref_no int, description string")
+    out = {r.id: r.text for r in images.enrich(docs, "id", "text", notes).collect()}
+    assert out[1].index("note") < out[1].index("mid") and out[3] == ""
+
+
+def test_ablation(spark):
+    from pageloom.operators import ablation
+
+    rows = spark.createDataFrame([("a", "s", 0.80, 50.0, 9.0), ("b", "s", 0.79, 40.0, 9.0), ("c", "s", 0.70, 1.0, 1.0), ("d", "t", 0.1, 1.0, 1.0)], "variant string, strategy string, balanced_score double, context_chars_5 double, index_chunks double")
+    assert sorted(r.variant for r in ablation.best_by_strategy(rows).collect()) == ["b", "d"]
+    try:
+        retrieval.search("odd", None, None, 3)
+    except ValueError:
+        return
+    raise AssertionError
