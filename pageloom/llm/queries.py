@@ -40,6 +40,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [
+        unify.unify(table(spark, sf_dir, origin).select(F.lit(origin).alias("origin"), F.col(key).alias("key"), F.col(text).alias("text")).distinct(), "text").drop("text")
+        for origin, key, text in (("child_chunks", "child_id", "content"), ("eval_questions", "question_id", "question"))
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 PARENT_LIMIT, CHILD_LIMIT, OVERLAP = 4000, 300, 60
 
 
@@ -90,7 +98,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.restore(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p3_unified": p3_unified, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
 ORACLE_SQL: dict[str, str] = {
     "p4_found": """
         SELECT DISTINCT 'parent' AS origin, parent_id AS item_key FROM parent_chunks WHERE length(page_content) > 4000

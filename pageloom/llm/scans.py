@@ -158,7 +158,22 @@ def divided(body: DataFrame) -> DataFrame:
     joining = _trim(rest).rlike(r"^(?i:and|or|und|oder|bzw\.|sowie|et|ou|y|o|e|u|resp\.|to|bis)\b")
     soft = F.col("line").rlike("[¬­]$")
     keep = F.when(rest.isNull(), soft).otherwise(F.when(soft, rest_kind.isNotNull()).otherwise(goes_on & ~joining))
-    return ends.where(keep).select("block_id", "line_no", F.when(last, F.lit(-1)).otherwise(F.col("next_no")).alias("joins"))
+    left, right = F.regexp_extract("line", rf"([\p{{L}}\p{{M}}]+)[{_HYPHENS}]$", 1), F.regexp_extract(F.coalesce(rest, F.lit("")), r"^\s*([\p{L}\p{M}]+)", 1)
+    return ends.where(keep).select("block_id", "line_no", F.when(last, F.lit(-1)).otherwise(F.col("next_no")).alias("joins"), F.lower(left).alias("left"), F.lower(right).alias("right"), soft.alias("soft"))
+
+
+def hyphens(cuts: DataFrame, text: DataFrame) -> DataFrame:
+    """(block_id, line_no, hyphen): whether a divided word keeps its hyphen.
+
+    The evidence is the whole corpus: the hyphen stays where the compound is in more blocks with it
+    than the word is without. Marks that are only set for a division never stay.
+    """
+    compound = text.select("block_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+-\p{L}+"), F.lit(0)))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("with"))
+    plain = text.select("block_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0)))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("without"))
+    asked = cuts.where("not soft and left <> '' and right <> ''").withColumn("w", F.concat("left", F.lit("-"), "right"))
+    asked = sized_join(asked, compound.join(asked.select("w").distinct(), "w", "left_semi"), ["w"], "inner").withColumn("w", F.concat("left", "right"))
+    asked = sized_join(asked, plain.join(asked.select("w").distinct(), "w", "left_semi"), ["w"])
+    return asked.where(F.col("with") > F.coalesce("without", F.lit(0))).select("block_id", "line_no", F.lit(True).alias("hyphen"))
 
 
 def _hash(word: Column) -> Column:
@@ -268,7 +283,7 @@ def analyse(df: DataFrame) -> dict[str, DataFrame]:
     wrong = sized_join(words, fixes, ["word"], "inner").select("block_id", "word", "correction")
     tri, pairs = ideographs(text)
     wrong_han = sized_join(tri, pairs, ["tri"], "inner").select("block_id", F.col("tri").alias("word"), "correction")
-    return {"blocks": blocks, "lines": lines, "divided": cuts, "misread": wrong.unionByName(wrong_han)}
+    return {"blocks": blocks, "lines": lines, "divided": cuts, "text": text, "misread": wrong.unionByName(wrong_han)}
 
 
 def noise(df: DataFrame) -> DataFrame:
@@ -288,16 +303,18 @@ def noise(df: DataFrame) -> DataFrame:
 
 _CJK = regex.compile(r"[\p{Han}，。：；、“”（）！？《》]")
 _PART = regex.compile(rf"[{_HYPHENS}]$")
+_STOP = regex.compile(r"[.!?:。！？：][\"'”’»)]*$")
 
 
-def _paragraphs(lines: list[dict], words: dict[str, str], known: set[str]) -> str:
+def _paragraphs(lines: list[dict], words: dict[str, str]) -> str:
     """The body's lines as paragraphs: wrapped lines joined, divided words whole, misread ones put right."""
     out: list[str] = []
-    open_text = False
+    open_text, before = False, 0
+    width = max((len(x["line"].strip()) for x in lines if x["kind"] == "text"), default=0)
     for x in lines:
         line, kind = x["line"], x["kind"]
         if kind == "blank":
-            if x["join"] is None and open_text:
+            if out and out[-1] and not (open_text and _PART.search(out[-1])):
                 open_text = False
                 out.append("")
             continue
@@ -306,17 +323,18 @@ def _paragraphs(lines: list[dict], words: dict[str, str], known: set[str]) -> st
             open_text = False
             continue
         line = line.strip() if kind == "text" else line.rstrip()
-        if kind != "text" or not open_text or not out:
+        # a wrapped line is about as long as the page is wide; a short one ends what it stands in
+        ended = open_text and x["continues"] is None and (before < 0.5 * width or before < 0.8 * width and _STOP.search(out[-1]))
+        before = len(line)
+        if kind != "text" or not open_text or not out or ended:
             if kind in ("heading",) and out and out[-1] != "":
                 out.append("")
             out.append(line)
             if kind == "heading":
                 out.append("")
-        elif _PART.search(out[-1]) and x["continues"]:
+        elif _PART.search(out[-1]) and x["continues"] is not None:
             head, tail = out[-1][:-1], line
-            left, right = regex.search(r"\S*$", head).group(), regex.match(r"\S*", tail).group()
-            hyphen = out[-1][-1] in "-‐‑" and left.lower() + right.lower() not in known and f"{left}-{right}".lower() in known
-            out[-1] = head + ("-" if hyphen else "") + tail
+            out[-1] = head + ("-" if x["continues"] == "-" else "") + tail
         else:
             gap = "" if _CJK.match(out[-1][-1:]) and _CJK.match(line[:1]) else " "
             out[-1] = out[-1] + gap + line
@@ -337,20 +355,19 @@ def _clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         texts = []
         for lines, words, carry, given in zip(pdf["body"], pdf["words"], pdf["carry"], pdf["given"], strict=True):
-            rows = [{"line": x["line"], "kind": x["kind"], "join": x["joins"], "continues": False} for x in sorted(lines if lines is not None else [], key=lambda x: x["line_no"])]
+            rows = [{"line": x["line"], "kind": x["kind"], "join": x["joins"], "hyphen": "-" if x["hyphen"] else "", "continues": None} for x in sorted(lines if lines is not None else [], key=lambda x: x["line_no"])]
             if given and (first := next((r for r in rows if r["kind"] != "blank"), None)):
                 first["line"] = regex.sub(r"^\s*\S+\s*", "", first["line"])  # this word ends on the page before
                 if not first["line"]:
                     rows.remove(first)
-            divided = False
+            divided = None
             for r in rows:
-                if r["kind"] == "blank":
-                    continue
-                r["continues"], divided = divided, r["join"] is not None and r["join"] >= 0
+                if r["kind"] != "blank":
+                    r["continues"], divided = divided, r["hyphen"] if r["join"] is not None and r["join"] >= 0 else None
             if carry and (end := next((r for r in reversed(rows) if r["kind"] != "blank"), None)):
-                end["line"] = _PART.sub("", end["line"]) + carry
+                end["line"] = _PART.sub(end["hyphen"], end["line"]) + carry
             fixes = {x["word"]: x["correction"] for x in (words if words is not None else [])}
-            texts.append(_paragraphs(rows, fixes, set(fixes.values())))
+            texts.append(_paragraphs(rows, fixes))
         yield pd.DataFrame({"block_id": pdf["block_id"], "cleaned_text": texts})
 
 
@@ -363,11 +380,12 @@ def repair(df: DataFrame) -> DataFrame:
     """
     t = analyse(df)
     cuts = t["divided"]
-    body = t["lines"].where("layout is null").join(cuts, ["block_id", "line_no"], "left")
+    kept = materialize(hyphens(cuts, t["text"]), "hyphens")
+    body = t["lines"].where("layout is null").join(cuts.select("block_id", "line_no", "joins"), ["block_id", "line_no"], "left").join(kept, ["block_id", "line_no"], "left")
     first = body.where("kind <> 'blank'").groupBy("source_file", "page_pos").agg(F.min_by("line", "line_no").alias("line"))
     over = cuts.where("joins = -1").join(t["blocks"].select("block_id", "source_file", "page_pos"), "block_id")
     carry = over.join(first.withColumn("page_pos", F.col("page_pos") - 1), ["source_file", "page_pos"]).select("block_id", "source_file", (F.col("page_pos") + 1).alias("next_pos"), F.regexp_extract("line", r"^\s*(\S+)", 1).alias("carry"))
-    grouped = body.groupBy("block_id", "source_file", "page_pos").agg(F.collect_list(F.struct("line_no", "line", "kind", "joins")).alias("body"))
+    grouped = body.groupBy("block_id", "source_file", "page_pos").agg(F.collect_list(F.struct("line_no", "line", "kind", "joins", F.coalesce("hyphen", F.lit(False)).alias("hyphen"))).alias("body"))
     fixes = t["misread"].groupBy("block_id").agg(F.collect_set(F.struct("word", "correction")).alias("words"))
     given = carry.select("source_file", F.col("next_pos").alias("page_pos"), F.lit(True).alias("given")).distinct()
     rows = t["blocks"].select("block_id", "source_file", "page_pos").join(grouped.drop("source_file", "page_pos"), "block_id", "left").join(fixes, "block_id", "left").join(carry.select("block_id", "carry"), "block_id", "left").join(given, ["source_file", "page_pos"], "left")

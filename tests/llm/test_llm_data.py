@@ -151,3 +151,22 @@ def test_mix_reaches_its_shares(spark):
     assert all(abs(s[k].actual_share - s[k].reachable_share) < 0.01 for k in "abc")
     assert sorted(map(str, out.collect())) == sorted(map(str, mix.mix(d, t, "doc", "source", "n").collect()))
     assert mix.mix(d.limit(0), t, "doc", "source", "n").count() == 0 and mix.mix(d, t.limit(0), "doc", "source", "n").count() == 0
+
+
+def test_other_columns_may_have_any_name(spark):
+    """Columns named like those the operators use inside have no effect."""
+    from pageloom.llm import encode, garbled, pairs, unify
+
+    inside = "item text h doc vec key form spelling chunk chunk_key pos ids leaf cid source size bucket uses pairs restored answer question pair_key n v".split()
+    rows = [(f"k{i}", "Some text of ｗords " * (i + 1), [float(i + 1), 1.0], "b", 3) for i in range(4)] + [("k9", "Some text of words ", [1.0, 2.0], "b", 3)]
+    df = spark.createDataFrame(rows, "id0 string, body0 string, vec0 array<double>, src0 string, size0 long")
+    for name in inside:
+        df = df.withColumn(name, df.size0 * 0)
+    assert {r.key_a for r in unify.look_alikes(df, "id0", "body0").collect()} == {"k0"}
+    assert encode.token_ids(df, "id0", "body0").count() == 5
+    assert garbled.restore(df, "id0", "body0").count() == 5
+    assert pairs.defects(df, "id0", "body0", "body0").where("defect = 'copy'").count() == 5
+    assert pieces.oversized(df, "id0", "body0", 30, 5).select("id0").distinct().count() == 3
+    assert nearest.nearest(df, "id0", "vec0", k=2, dim=2).count() == 10
+    t = spark.createDataFrame([("m", "b", 1.0, 2)], "mix_name string, source string, target_share double, max_repeats int")
+    assert mix.mix(df, t, "id0", "src0", "size0").count() == 10
