@@ -27,6 +27,7 @@ UTF8_READ_IN = ("cp1252", "cp1250", "cp1251", "cp437", "cp850", "cp866", "mac-ro
 OTHER_PAIRS = (("gb18030", "cp1252"), ("big5", "cp1252"), ("cp932", "cp1252"), ("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("cp1251", "cp1252"), ("koi8-r", "cp1252"), ("cp866", "cp1251"), ("cp1252", "mac-roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("mac-roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp1251"))
 SINGLE = ("cp1252", "cp1250", "cp1251", "cp437", "cp850", "cp866", "mac-roman", "koi8-r")
 ENTER_UTF8, ENTER_OTHER, ENTER_KNOWN = 8.0, 14.0, 5.0  # cost in nats of leaving the clean state
+DROPPED = 3.0  # cost in nats of a byte that was dropped
 LOST = 0xFFFD
 _SYMBOLS = 0x3100  # code points below stand for themselves in bigrams, others for their class
 _CLASSES = 12
@@ -167,6 +168,8 @@ class Scorer:
         self.m, self.symbol = model, _symbol()
         self.rest = np.array([model.back.get(k, 0.0) for k in range(_SYMBOLS + _CLASSES)])
         self.known: dict[int, float] = {}
+        self.fits: dict[tuple, tuple[int, ...]] = {}
+        self.chosen: dict[tuple, list[str]] = {}
 
     def array(self, before: np.ndarray, points: np.ndarray) -> np.ndarray:
         m = self.m
@@ -198,6 +201,50 @@ class Scorer:
         at = np.minimum(np.searchsorted(self.m.points, points), len(self.m.points) - 1)
         return np.where(self.m.points[at] == points, self.m.weight[1][at], self.m.floor)
 
+    def fitting(self, lead: int, rest: bytes, unseen: frozenset[int]) -> tuple[int, ...]:
+        """The corpus's code points whose UTF-8 bytes are ``lead``, then ``rest`` and some of ``unseen`` among each other."""
+        key = (lead, rest, unseen)
+        if (got := self.fits.get(key)) is None:
+            low, high = (((lead & 31) << 6, 64), ((lead & 15) << 12, 1 << 12), ((lead & 7) << 18, 1 << 18))[(lead >= 0xE0) + (lead >= 0xF0)]
+            a, b = np.searchsorted(self.m.points, (low, low + high))
+            found = []
+            for x in self.m.points[a:b].tolist():
+                if 0xD800 <= x < 0xE000 or unicodedata.category(chr(x)) in _NEVER or (tail := chr(x).encode())[0] != lead:
+                    continue
+                k = 0
+                for y in tail[1:]:
+                    if k < len(rest) and y == rest[k]:
+                        k += 1
+                    elif y not in unseen:
+                        break
+                else:
+                    if k == len(rest):
+                        found.append(x)
+            got = self.fits[key] = tuple(found)
+        return got
+
+    def choose(self, before: int, items: list, after: int) -> list[tuple[str, int, int]]:
+        """Originals with their ends and the bytes dropped; of those that are several the ones of the best path between their neighbours."""
+        if not any(isinstance(x, tuple) for x, *_ in items):
+            return [(x, last, 0) for x, last in items]
+        key = (before, tuple(x for x, *_ in items), after)
+        if (got := self.chosen.get(key)) is None:
+            kept, score, back = np.array([before]), np.zeros(1), []
+            for x, *_ in items:
+                c = np.array(x if isinstance(x, tuple) else (ord(x),))
+                grid = score[:, None] + (self.array(np.repeat(kept, len(c)), np.tile(c, len(kept))).reshape(len(kept), len(c)) if x != "�" else 0.0)
+                back.append((c, grid.argmax(0)))
+                kept, score = c, grid.max(0)
+            k, got = int(np.argmax(score + self.array(kept, np.full(len(kept), after)))), []
+            for c, came in reversed(back):
+                got.append(chr(int(c[k])))
+                k = int(came[k])
+            got.reverse()
+            if len(self.chosen) > 1 << 16:
+                self.chosen.clear()
+            self.chosen[key] = got
+        return [(x, item[1], item[2] if isinstance(item[0], tuple) else 0) for x, item in zip(got, items, strict=True)]
+
     def one(self, before: int, point: int) -> float:
         key = before << 21 | point
         if (got := self.known.get(key)) is None:
@@ -207,6 +254,20 @@ class Scorer:
         return got
 
 
+@lru_cache(16)
+def _unseen(read_in: str) -> frozenset[int]:
+    """Continuation bytes that a reading encoding leaves undefined or shows as nothing, so that they are dropped easily."""
+    out = set()
+    for b in range(0x80, 0xC0):
+        try:
+            ch = bytes([b]).decode(read_in)
+        except UnicodeDecodeError:
+            ch = chr(b)
+        if unicodedata.category(ch) in ("Cc", "Cf") or read_in == "cp1252" and b < 0xA0:  # Latin-1 is of that state too
+            out.add(b)
+    return frozenset(out)
+
+
 @lru_cache(4096)
 def _fitting(lead: int, second: int, third: int) -> np.ndarray:
     """Code points of three UTF-8 bytes of which those given as 0xFF are unknown."""
@@ -215,11 +276,13 @@ def _fitting(lead: int, second: int, third: int) -> np.ndarray:
     return np.array([(a & 15) << 12 | (b & 63) << 6 | c & 63 for a in free(lead, range(0xE2, 0xF0)) for b in free(second, tails) for c in free(third, tails)], np.int64)
 
 
-def _undo_utf8(chars: list[str], read_in: str, likeliest=None) -> list[tuple[str, int]] | None:
+def _undo_utf8(chars: list[str], read_in: str, likeliest=None, fitting=None) -> list[tuple] | None:
     """The original characters of a run with the number of the garbled one each ends in.
 
     Where one byte of three was lost, ``likeliest`` chooses among the characters that fit the
-    others; where more was lost the character is U+FFFD.
+    others. Where bytes that the encoding doesn't show were dropped, ``fitting`` gives the code points
+    that fit the others: they stand in the character's place, with the number of bytes dropped.
+    Where more was lost the character is U+FFFD.
     """
     data, ends = bytearray(), []
     table = _bytes_of(read_in) if read_in in SINGLE else None
@@ -264,7 +327,10 @@ def _undo_utf8(chars: list[str], read_in: str, likeliest=None) -> list[tuple[str
                 j += 1
             if j < n and data[j] == 0xFF and j - i < max(size, 1):
                 j += 1
-            out[-1] = ("�", ends[j - 1])
+            if fitting and j - i < size and (j == n or data[j] != 0xFF) and (fits := fitting(b, bytes(data[i + 1 : j]), _unseen(read_in))):
+                out[-1] = (fits, ends[j - 1], size - (j - i))
+            else:
+                out[-1] = ("�", ends[j - 1])
             i = j
     return out
 
@@ -322,10 +388,12 @@ def _runs(chars: list[str]) -> list[tuple[int, int, bool]]:
 
 #: Every state but the clean one: name, undoing function, cost of entering it.
 STATES = (
-    [(f"utf-8>{r}", (lambda chars, choose, r=r: _undo_utf8(chars, r, choose if r not in SINGLE else None)), ENTER_UTF8) for r in UTF8_READ_IN]
-    + [("utf-8>cp1252 twice", (lambda chars, choose: _undo_twice(chars)), ENTER_UTF8)]
-    + [(f"{w}>{r}", (lambda chars, choose, w=w, r=r: _undo_other(chars, w, r)), ENTER_OTHER) for w, r in OTHER_PAIRS]
+    [(f"utf-8>{r}", (lambda chars, scorer, r=r: _undo_utf8(chars, r, None, scorer.fitting) if r in SINGLE else _undo_utf8(chars, r, scorer.likeliest)), ENTER_UTF8) for r in UTF8_READ_IN]
+    + [("utf-8>cp1252 twice", (lambda chars, scorer: _undo_twice(chars)), ENTER_UTF8)]
+    + [(f"{w}>{r}", (lambda chars, scorer, w=w, r=r: _undo_other(chars, w, r)), ENTER_OTHER) for w, r in OTHER_PAIRS]
 )
+_NBSP_AT_A0 = tuple(f"utf-8>{r}" for r in ("cp1252", "cp1250", "cp1251"))
+_EATEN = "\b"  # marks an original whose last byte became the space that follows it
 _NEVER = ("Cn", "Co", "Cs", "Cc")  # kinds of characters no text was written with
 _QUOTES = {"“": "”", "„": "“”", "‘": "’", "`": "`", '"': '"', "'": "'", "「": "」", "«": "»"}
 
@@ -363,18 +431,29 @@ def label(text: str, scorer: Scorer, known: frozenset[str] | None = None) -> lis
         made: list = [None] * k
         for s, (name, undo, _) in enumerate(among):
             for a, b in _pieces(chars, name):
-                got = undo(chars[a:b], scorer.likeliest)
-                if got is None or all(x == "�" for x, _ in got) or (len(got) == b - a and all(x == y for (x, _), y in zip(got, chars[a:b], strict=True))):
+                got = undo(chars[a:b], scorer)
+                if got is None or all(x == "�" for x, *_ in got):
+                    continue
+                before, at = codes[begin + a - 1] if begin + a else 10, a
+                got = scorer.choose(before, got, codes[begin + b] if begin + b < n else 10)
+                # the no-break space of a sequence may have become the space that follows
+                eaten = 0.0
+                if b == len(chars) and name in _NBSP_AT_A0 and text[end : end + 1] == " " and got[-1][2] == 1 and got[-1][1] == (got[-2][1] + 1 if len(got) > 1 else 0) and 0xC2 <= (lead := _bytes_of(name[6:])[chars[-1]][0]) < 0xE0:
+                    prior, x, y, following = ord(got[-2][0]) if len(got) > 1 else before, ord(got[-1][0]), (lead & 31) << 6 | 0x20, codes[end + 1] if end + 1 < n else 10
+                    if one(prior, y) + one(y, following) > one(prior, x) + one(x, 32) + one(32, following):
+                        got[-1], eaten = (chr(y), got[-1][1], 1), one(y, following) - one(y, 32) - one(32, following)
+                if len(got) == b - a and not eaten and all(x == y for (x, *_), y in zip(got, chars[a:b], strict=True)):
                     continue
                 if made[s] is None:
                     made[s] = {}
-                before, at = codes[begin + a - 1] if begin + a else 10, a
-                for original, last in got:
+                for original, last, dropped in got:
                     last += a
-                    if original == "�":  # possible only where characters were lost
+                    if dropped and last > at and begin + at and chars[last] in _QUOTES.get(text[begin + at - 1], ""):
+                        gain = -1e6  # a letter between quotation marks
+                    elif original == "�":  # possible only where characters were lost
                         gain = -6.0 if "�" in chars[at : last + 1] else -1e6
                     else:
-                        gain = one(before, ord(original)) if unicodedata.category(original)[:2] not in _NEVER or original in "\n\t" else -1e6
+                        gain = one(before, ord(original)) - DROPPED * dropped if unicodedata.category(original)[:2] not in _NEVER or original in "\n\t" else -1e6
                     if last >= at:
                         starts[s, at], ends[s, last] = True, True
                         gains[s, at : last + 1] = 0.0
@@ -384,7 +463,9 @@ def label(text: str, scorer: Scorer, known: frozenset[str] | None = None) -> lis
                     made[s].setdefault(last, []).append(original)
                     before, at = ord(original), max(at, last + 1)
                 if b == len(chars) and codes[end - 1] != before:  # the character after it is the same in all states
-                    gains[s, b - 1] += one(before, after) - one(codes[end - 1], after)
+                    gains[s, b - 1] += one(before, after) - one(codes[end - 1], after) + eaten
+                if eaten:
+                    made[s][b - 1].append(_EATEN)
         for i in range(len(chars)):
             out = np.where(leaves, best, none)
             to_clean = int(np.argmax(out)) if out.max() > clean else -1
@@ -412,7 +493,7 @@ def label(text: str, scorer: Scorer, known: frozenset[str] | None = None) -> lis
             spans[-1][1], spans[-1][3] = place + 1, spans[-1][3] + original
         else:
             spans.append([place, place + 1, s, original])
-    named = [(b, e, among[s][0], o) for b, e, s, o in spans]
+    named = [(b, e + o.endswith(_EATEN), among[s][0], o.replace(_EATEN, "")) for b, e, s, o in spans]
     covered = {i for b, e, _, _ in named for i in range(b, e)}
     named += [(i, i + 1, "lost", "�") for i, c in enumerate(codes) if c == LOST and i not in covered]
     return sorted(x for x in named if not _example(text, x[0], x[1], covered))

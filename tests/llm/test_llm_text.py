@@ -139,3 +139,18 @@ def test_defects_of_a_table(spark, sf):
     out = pairs.defects(df, "id", "user_original", "assistant_final")
     assert out.count() == df.select("id").distinct().count()
     assert pairs.defects(df.limit(0), "id", "user_original", "assistant_final").count() == 0
+
+
+def test_characters_with_a_byte_dropped_come_back(spark):
+    words = [*CLEAN, "Übungen: Schließlich muss die Größe stimmen. Über alles.", "AVALIAÇÃO da recuperação", "O ruído falha às vezes e leva à frente."]
+    model = garbled.train(spark.createDataFrame([(t,) for t in words for _ in range(30)], "text string"), "text")
+    scorer = garbled.Scorer(model)
+    bad = {"# Ãbungen": "# Übungen", "SchlieÃlich muss": "Schließlich muss", "AVALIAÃÃO 8": "AVALIAÇÃO 8", "Itâs the": "It’s the", "falha Ã s vezes": "falha às vezes"}
+    for text, sound in bad.items():
+        out, at = [], 0
+        for b, e, _, original in garbled.label(text, scorer):
+            out += [text[at:b], original]
+            at = e
+        assert "".join(out) + text[at:] == sound
+    for t in (*words, "an “é” of another table"):
+        assert garbled.label(t, scorer) == []
