@@ -10,12 +10,14 @@ state. Characters in ASCII are the same under all states, so only the others are
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +28,8 @@ from pageloom.llm.arrowtext import in_parts, row_of, to_code_points
 UTF8_READ_IN = ("cp1252", "cp1250", "cp1251", "cp437", "cp850", "cp866", "mac-roman", "koi8-r", "gb18030", "cp932", "big5")
 OTHER_PAIRS = (("gb18030", "cp1252"), ("big5", "cp1252"), ("cp932", "cp1252"), ("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("cp1251", "cp1252"), ("koi8-r", "cp1252"), ("cp866", "cp1251"), ("cp1252", "mac-roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("mac-roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp1251"))
 SINGLE = ("cp1252", "cp1250", "cp1251", "cp437", "cp850", "cp866", "mac-roman", "koi8-r")
-ENTER_UTF8, ENTER_OTHER, ENTER_KNOWN = 8.0, 14.0, 5.0  # cost in nats of leaving the clean state
-DROPPED = 3.0  # cost in nats of a byte that was dropped
+ENTER_UTF8, ENTER_OTHER, ENTER_KNOWN = 7.0, 7.0, 5.0  # cost in nats of leaving the clean state
+DROPPED = 0.3  # cost in nats of a byte that was dropped
 LOST = 0xFFFD
 _SYMBOLS = 0x3100  # code points below stand for themselves in bigrams, others for their class
 _CLASSES = 12
@@ -92,8 +94,12 @@ def utf8_shaped(points: np.ndarray) -> np.ndarray:
     return out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bigram counts of symbols (a, b) and, as a = -1, counts of code points, of lines that look sound."""
+def _count(batches: Iterator[pa.RecordBatch], model: Model | None = None) -> Iterator[pa.RecordBatch]:
+    """Bigram counts of symbols (a, b) and, as a = -1, counts of code points, of lines that look sound.
+
+    With a model, lines that it labels garbled are left out too.
+    """
+    scorer = Scorer(model) if model else None
     symbol = _symbol()
     for batch in in_parts(batches, "text"):
         points, offsets = to_code_points(batch.column(0))
@@ -109,6 +115,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         beside = np.concatenate((upper[1:] & ~start[1:], [False])) | np.concatenate(([False], upper[:-1])) & ~start
         odd = sign & beside | utf8_shaped(points) | (points == LOST) | (points >= 0xE000) & (points < 0xF900) | (points >= 0x80) & (points < 0xA0)
         sound = np.bincount(line, odd) == 0
+        if scorer:
+            lines = [x for text in batch.column(0).to_pylist() if text for x in text.removesuffix("\n").split("\n")]
+            sound &= np.array([x.isascii() or not label(x, scorer) for x in lines])
         use = sound[line]
         s = symbol[points]
         before = np.concatenate(([10], s[:-1]))
@@ -134,11 +143,23 @@ class Model:
 def train(df: DataFrame, text: str) -> Model:
     """Count the characters and symbol bigrams of all texts and make the model of them.
 
+    Twice: a garbling that is frequent looks usual to the first model, so the second one is of the
+    lines in which the first finds none.
+
     What reaches the driver has at most a row for each code point and each pair of the symbols
     (code points below U+3100 and a dozen classes) that occurs: an alphabet's worth, whatever the
     size of the corpus.
     """
-    counts = df.select(F.col(text).alias("text")).where("text is not null").mapInArrow(_count, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()
+    texts = df.select(F.col(text).alias("text")).where("text is not null")
+
+    def counted(first: Model | None) -> pd.DataFrame:
+        return texts.mapInArrow(lambda batches: _count(batches, first), "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()
+
+    return _fit(counted(_fit(counted(None))))
+
+
+def _fit(counts: pd.DataFrame) -> Model:
+    """The model of the counts."""
     one, two = counts[counts.a < 0].sort_values("b"), counts[counts.a >= 0]
     symbol = _symbol()
     points, n = one.b.to_numpy(np.int64), one.n.to_numpy(float)
@@ -170,6 +191,8 @@ class Scorer:
         self.known: dict[int, float] = {}
         self.fits: dict[tuple, tuple[int, ...]] = {}
         self.chosen: dict[tuple, list[str]] = {}
+        self.most: dict[tuple, dict[str, float]] = {}
+        self.held = 0
 
     def array(self, before: np.ndarray, points: np.ndarray) -> np.ndarray:
         m = self.m
@@ -394,10 +417,88 @@ STATES = (
 )
 _NBSP_AT_A0 = tuple(f"utf-8>{r}" for r in ("cp1252", "cp1250", "cp1251"))
 _EATEN = "\b"  # marks an original whose last byte became the space that follows it
+_OUTSIDE = re.compile(r"[^\x00-\x7f]+")
 _NEVER = ("Cn", "Co", "Cs", "Cc")  # kinds of characters no text was written with
 _QUOTES = {"“": "”", "„": "“”", "‘": "’", "`": "`", '"': '"', "'": "'", "「": "」", "«": "»"}
 
 
+def _gains(first: int, chars: list[str], after: int, following: int, scorer: Scorer, among: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """What the states make of a run between ``first`` and ``after``: gains, places where originals start and end, and the originals."""
+    one, k = scorer.one, max(len(among), 1)
+    codes = [ord(c) for c in chars]
+    bases = [one(x, y) for x, y in zip([first, *codes], codes)]
+    # gain over the clean state at each character; a state is entered and left between original characters only
+    gains = np.full((k, len(chars)), -1e6)
+    starts, ends = np.zeros((k, len(chars)), bool), np.zeros((k, len(chars)), bool)
+    made: list = [None] * k
+    for s, (name, undo, _) in enumerate(among):
+        for a, b in _pieces(chars, name):
+            got = undo(chars[a:b], scorer)
+            if got is None or all(x == "�" for x, *_ in got):
+                continue
+            before, at = codes[a - 1] if a else first, a
+            got = scorer.choose(before, got, codes[b] if b < len(chars) else after)
+            # the no-break space of a sequence may have become the space that follows
+            eaten = 0.0
+            if b == len(chars) and name in _NBSP_AT_A0 and after == 32 and got[-1][2] == 1 and got[-1][1] == (got[-2][1] + 1 if len(got) > 1 else 0) and 0xC2 <= (lead := _bytes_of(name[6:])[chars[-1]][0]) < 0xE0:
+                prior, x, y = ord(got[-2][0]) if len(got) > 1 else before, ord(got[-1][0]), (lead & 31) << 6 | 0x20
+                if one(prior, y) + one(y, following) > one(prior, x) + one(x, 32) + one(32, following):
+                    got[-1], eaten = (chr(y), got[-1][1], 1), one(y, following) - one(y, 32) - one(32, following)
+            if len(got) == b - a and not eaten and all(x == y for (x, *_), y in zip(got, chars[a:b], strict=True)):
+                continue
+            if made[s] is None:
+                made[s] = {}
+            for original, last, dropped in got:
+                last += a
+                if dropped and last > at and chars[last] in _QUOTES.get(chr(codes[at - 1] if at else first), ""):
+                    gain = -1e6  # a letter between quotation marks
+                elif original == "�":  # possible only where characters were lost
+                    gain = -6.0 if "�" in chars[at : last + 1] else -1e6
+                else:
+                    gain = one(before, ord(original)) - DROPPED * dropped if unicodedata.category(original)[:2] not in _NEVER or original in "\n\t" else -1e6
+                if last >= at:
+                    starts[s, at], ends[s, last] = True, True
+                    gains[s, at : last + 1] = 0.0
+                    gains[s, last] = gain - sum(bases[at : last + 1])
+                else:
+                    gains[s, last] += gain
+                made[s].setdefault(last, []).append(original)
+                before, at = ord(original), max(at, last + 1)
+            if b == len(chars) and codes[-1] != before:  # the character after it is the same in all states
+                gains[s, b - 1] += one(before, after) - one(codes[-1], after) + eaten
+            if eaten:
+                made[s][b - 1].append(_EATEN)
+    return gains, starts, ends, made
+
+
+def _most(first: int, run: str, after: int, following: int, scorer: Scorer) -> dict[str, float]:
+    """The most that any stretch of a run can gain in each state, where that is above zero."""
+    key = (first, run, after, following if after == 32 else 0)
+    if (got := scorer.most.get(key)) is None:
+        gains, *_ = _gains(first, list(run), after, following, scorer, STATES)
+        best, here = np.zeros(len(STATES)), np.zeros(len(STATES))
+        for i in range(gains.shape[1]):
+            here = np.maximum(here + gains[:, i], 0.0)
+            best = np.maximum(best, here)
+        got = {STATES[s][0]: float(best[s]) for s in np.flatnonzero(best > 0)}
+        scorer.held += len(run) + 50
+        if scorer.held > 1 << 23:
+            scorer.most.clear()
+            scorer.held = 0
+        scorer.most[key] = got
+    return got
+
+
+def _worth(line: str, scorer: Scorer, known: frozenset[str] | None = None) -> list:
+    """The states that the best path of a line can be in: a span gains no more than the line's runs can in its state."""
+    total: dict[str, float] = {}
+    for x in _OUTSIDE.finditer(line):
+        begin, end = x.span()
+        for name, most in _most(ord(line[begin - 1]) if begin else 10, x[0], ord(line[end]) if end < len(line) else 10, ord(line[end + 1]) if end + 1 < len(line) else 10, scorer).items():
+            total[name] = total.get(name, 0.0) + most
+    return [s for s in STATES if total.get(s[0], 0.0) > (s[2] if known is None else ENTER_KNOWN) and (known is None or s[0] in known)]
+
+
 def label(text: str, scorer: Scorer, known: frozenset[str] | None = None) -> list[tuple[int, int, str, str]]:
     """The best path through the states: spans (begin, end, state, original text) that aren't clean.
 
@@ -405,15 +506,15 @@ def label(text: str, scorer: Scorer, known: frozenset[str] | None = None) -> lis
     an example of garbled text and belongs to the clean state. States that are ``known`` from other
     lines of the text are the only ones looked at then, and cheaper to enter.
     """
-    runs = [(b, e) for b, e, high in _runs(list(text)) if high]
-    if not runs:
+    runs = [x.span() for x in _OUTSIDE.finditer(text)]
+    among = _worth(text, scorer, known)
+    if not among and "�" not in text:
         return []
     one = scorer.one
     codes = [ord(c) for c in text]
     n = len(codes)
     none = -1e9
     clean = 0.0
-    among = [s for s in STATES if known is None or s[0] in known]
     enter = np.array([s[2] if known is None else ENTER_KNOWN for s in among] or [0.0])
     k = len(enter)
     best = np.full(k, none)
@@ -423,49 +524,7 @@ def label(text: str, scorer: Scorer, known: frozenset[str] | None = None) -> lis
     leaves = np.ones(k, bool)  # states whose original character is complete
     for begin, end in runs:
         chars = list(text[begin:end])
-        bases = [one(codes[i - 1] if i else 10, codes[i]) for i in range(begin, end)]
-        after = codes[end] if end < n else 10
-        # gain over the clean state at each character; a state is entered and left between original characters only
-        gains = np.full((k, len(chars)), -1e6)
-        starts, ends = np.zeros((k, len(chars)), bool), np.zeros((k, len(chars)), bool)
-        made: list = [None] * k
-        for s, (name, undo, _) in enumerate(among):
-            for a, b in _pieces(chars, name):
-                got = undo(chars[a:b], scorer)
-                if got is None or all(x == "�" for x, *_ in got):
-                    continue
-                before, at = codes[begin + a - 1] if begin + a else 10, a
-                got = scorer.choose(before, got, codes[begin + b] if begin + b < n else 10)
-                # the no-break space of a sequence may have become the space that follows
-                eaten = 0.0
-                if b == len(chars) and name in _NBSP_AT_A0 and text[end : end + 1] == " " and got[-1][2] == 1 and got[-1][1] == (got[-2][1] + 1 if len(got) > 1 else 0) and 0xC2 <= (lead := _bytes_of(name[6:])[chars[-1]][0]) < 0xE0:
-                    prior, x, y, following = ord(got[-2][0]) if len(got) > 1 else before, ord(got[-1][0]), (lead & 31) << 6 | 0x20, codes[end + 1] if end + 1 < n else 10
-                    if one(prior, y) + one(y, following) > one(prior, x) + one(x, 32) + one(32, following):
-                        got[-1], eaten = (chr(y), got[-1][1], 1), one(y, following) - one(y, 32) - one(32, following)
-                if len(got) == b - a and not eaten and all(x == y for (x, *_), y in zip(got, chars[a:b], strict=True)):
-                    continue
-                if made[s] is None:
-                    made[s] = {}
-                for original, last, dropped in got:
-                    last += a
-                    if dropped and last > at and begin + at and chars[last] in _QUOTES.get(text[begin + at - 1], ""):
-                        gain = -1e6  # a letter between quotation marks
-                    elif original == "�":  # possible only where characters were lost
-                        gain = -6.0 if "�" in chars[at : last + 1] else -1e6
-                    else:
-                        gain = one(before, ord(original)) - DROPPED * dropped if unicodedata.category(original)[:2] not in _NEVER or original in "\n\t" else -1e6
-                    if last >= at:
-                        starts[s, at], ends[s, last] = True, True
-                        gains[s, at : last + 1] = 0.0
-                        gains[s, last] = gain - sum(bases[at : last + 1])
-                    else:
-                        gains[s, last] += gain
-                    made[s].setdefault(last, []).append(original)
-                    before, at = ord(original), max(at, last + 1)
-                if b == len(chars) and codes[end - 1] != before:  # the character after it is the same in all states
-                    gains[s, b - 1] += one(before, after) - one(codes[end - 1], after) + eaten
-                if eaten:
-                    made[s][b - 1].append(_EATEN)
+        gains, starts, ends, made = _gains(codes[begin - 1] if begin else 10, chars, codes[end] if end < n else 10, codes[end + 1] if end + 1 < n else 10, scorer, among)
         for i in range(len(chars)):
             out = np.where(leaves, best, none)
             to_clean = int(np.argmax(out)) if out.max() > clean else -1
@@ -543,50 +602,18 @@ def _example(text: str, begin: int, end: int, garbled: set[int]) -> bool:
     return False
 
 
-def _doubtful(points: np.ndarray, offsets: np.ndarray, scorer: Scorer) -> list[tuple[int, list[int]]]:
-    """Texts the model has to look at, and which of their lines.
-
-    A text has to be looked at if a character outside ASCII has UTF-8's shape, was lost or is very
-    unlikely where it stands; of such a text all lines with an unlikely character are.
-    """
-    if not len(points):
-        return []
-    row = row_of(offsets)
-    start = np.concatenate(([True], (points[:-1] == 10) | (row[1:] != row[:-1])))
-    line = np.cumsum(start) - 1
-    high = np.flatnonzero(points >= 0x80)
-    if not len(high):
-        return []
-    before = np.concatenate(([10], points[:-1]))
-    before[start] = 10
-    score, rare = scorer.array(before[high], points[high]), scorer.rarity(points[high])
-    big = points[high] >= _SYMBOLS
-    sure = utf8_shaped(points)[high] | (points[high] == LOST) | np.where(big, rare < -9.0, score < -11.0)
-    maybe = sure | np.where(big, rare < -8.0, score < -8.0)
-    text = np.bincount(row[high[sure]], minlength=len(offsets) - 1) > 0
-    lines = np.unique(line[high[maybe & text[row[high]]]])
-    first = np.flatnonzero(start)
-    owner = row[first]
-    first_line = np.searchsorted(owner, np.arange(len(offsets) - 1), "left")
-    out: dict[int, list[int]] = {}
-    for k in lines.tolist():
-        r = int(owner[k])
-        out.setdefault(r, []).append(k - int(first_line[r]))
-    return list(out.items())
-
-
 def _restore(model: Model, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in in_parts(batches, "__text"):
             column = batch.column(batch.schema.get_field_index("__text"))
-            points, offsets = to_code_points(column)
-            points = points.astype(np.int64)
             texts = column.to_pylist()
             restored, states = list(texts), [[] for _ in texts]
-            for r, line_doubts in _doubtful(points, offsets, scorer):
-                lines = texts[r].split("\n")
-                spans = {k: got for k in line_doubts if (got := label(lines[k], scorer))}
+            for r, text in enumerate(texts):
+                if not text or text.isascii():
+                    continue
+                lines = text.split("\n")
+                spans = {k: got for k, x in enumerate(lines) if not x.isascii() and (got := label(x, scorer))}
                 if not spans:
                     continue
                 # what one line shows makes the same in the others likelier

@@ -154,3 +154,12 @@ def test_characters_with_a_byte_dropped_come_back(spark):
         assert "".join(out) + text[at:] == sound
     for t in (*words, "an “é” of another table"):
         assert garbled.label(t, scorer) == []
+
+
+def test_single_characters_that_look_usual_are_found(spark):
+    bad = {"le manifeste de lÆindex": "le manifeste de l’index", "# AVALIAÃÃO 8.1": "# AVALIAÇÃO 8.1"}
+    texts = ["\n".join([*CLEAN, "le manifeste de l’index", "AVALIAÇÃO da recuperação"] * 100)] * 20 + [*bad]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = garbled.restore(df, "doc_id", "text").collect()
+    assert {texts[r.doc_id]: r.restored for r in got if r.pairs} == bad
+    assert all(r.restored == texts[r.doc_id] for r in got if not r.pairs)
