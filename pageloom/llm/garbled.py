@@ -1,7 +1,7 @@
 """Text decoded in another encoding than it was written in: found by a hidden Markov model, and undone.
 
-The model has one clean state, one state for each pair (written in, read in) and one for characters
-that were lost. The clean state gives a character by a bigram model trained on the corpus itself; a
+The model has one clean state and one state for each pair (written in, read in). Characters that were
+lost have no state: a U+FFFD outside the spans of the path is found by a plain test. The clean state gives a character by a bigram model trained on the corpus itself; a
 pair's state gives the original character by the same model, through the pair's inverse transform.
 The best path labels the characters of a text; each labelled span gets the inverse transform of its
 state. Characters in ASCII are the same under all states, so only the others are steps of the path.
