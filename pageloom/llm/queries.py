@@ -68,7 +68,7 @@ def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = p5_neighbours(spark, sf_dir).where("sim >= 0.85")
+    near = nearest.nearest(table(spark, sf_dir, "child_chunks"), "child_id", "embedding", at_least=0.85)
     return near.select(F.least("child_id", "neighbour").alias("child_a"), F.greatest("child_id", "neighbour").alias("child_b")).distinct()
 
 

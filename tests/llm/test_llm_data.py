@@ -97,13 +97,38 @@ def test_oversized_items_and_files(spark, tmp_path):
         pieces.Cutter("x", 10, 10)
 
 
-def test_tree_order_is_that_of_the_queue():
+def test_batched_queues_visit_what_the_queue_gives_up():
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(400, 16)).astype(np.float32)
+    x = rng.normal(size=(900, 16)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    tree = nearest.fit(x, 20)
-    for v in x[:25]:
-        assert tree.order(v[None])[0].tolist() == tree.walk(v, len(tree.leaves))
+    tree = nearest.fit(x, 60)
+    homes = tree.home(x[:50])
+    for most in (1, 7, 25, len(tree.leaves)):
+        bound = tree.bounds(x[:50], most)
+        for v, b, home in zip(x[:50], bound, homes, strict=True):
+            walked = tree.walk(v, most)
+            assert walked[0] == home
+            # leaves their node held back share its priority: among those of the last one the queue may stop anywhere
+            assert {k for k in range(len(b)) if b[k] > b[walked[-1]]} <= set(walked) <= {k for k in range(len(b)) if b[k] >= b[walked[-1]]}
+
+
+def test_recall_of_isolated_and_close_vectors(spark):
+    """One recall is asked of all queries; it holds over all k neighbours, of vectors without near ones too."""
+    rng = np.random.default_rng(3)
+    lone = rng.normal(size=(2500, 32))
+    near = np.repeat(rng.normal(size=(100, 32)), 12, axis=0) + 0.1 * rng.normal(size=(1200, 32))
+    x = np.concatenate((lone, near)).astype(np.float32)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    kth = np.sort(s, axis=1)[:, -10]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id int, v array<float>")
+    got = nearest.nearest(df, "id", "v", k=10, dim=32).toPandas()
+    assert len(got) == 10 * len(x)
+    good = np.bincount(got.id, s[got.id, got.neighbour] >= kth[got.id] - 1e-5, len(x)) / 10
+    assert good.mean() >= 0.93 and good[2500:].mean() >= 0.97 and good[:2500].mean() >= 0.9
+    close = nearest.nearest(df, "id", "v", k=10, dim=32, at_least=0.85)
+    assert sorted(map(tuple, close.select("id", "neighbour").collect())) == sorted((a, b) for a, b, c in zip(got.id, got.neighbour, got.sim, strict=True) if c >= 0.85)
 
 
 def test_neighbours_against_brute_force(spark):
