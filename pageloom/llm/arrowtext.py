@@ -43,7 +43,8 @@ def row_of(offsets: np.ndarray) -> np.ndarray:
 def in_parts(batches, column: str, most: int = 1 << 20):
     """Cut Arrow batches so that a part holds about ``most`` bytes of text (a longer row stands alone)."""
     for batch in batches:
-        text = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string())
+        text = batch.column(batch.schema.get_field_index(column))
+        text = text.cast(pa.large_binary() if pa.types.is_binary(text.type) or pa.types.is_large_binary(text.type) else pa.large_string())
         n = len(text)
         if not n:
             continue

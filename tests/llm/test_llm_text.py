@@ -2,7 +2,9 @@
 
 import random
 import unicodedata
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -39,20 +41,27 @@ def test_pairs_of_look_alikes(spark):
 
 
 def test_joined_ids_equal_those_of_the_whole():
-    enc, pattern = encode._encoder(encode.TOKENIZER).encode_ordinary, encode._pattern()
+    plain = encode._encoder(Path(encode.TOKENIZER).read_bytes()).encode_ordinary
+    enc = lambda x: np.array(plain(x), np.int32)
     random.seed(1)
     atoms = ["a", "b", " ", "  ", "\n", "\n\n", "'", "'s", "'r", "e", "ll", "1", "é", "中", "!", "don't", "\t", "🙂"]
     for _ in range(3000):
         chunks = ["".join(random.choice(atoms) for _ in range(random.randint(1, 6))) for _ in range(random.randint(1, 6))]
         ids, safe, kept = [], [], []
         for c in chunks:
-            before = last = 0
-            for m in pattern.finditer(c):
-                before, last = last, m.start()
             ids.append(enc(c))
-            safe.append(before)
-            kept.append(len(ids[-1]) - len(enc(c[before:])))
-        assert encode.join_ids(chunks, ids, safe, kept, enc) == enc("".join(chunks))
+            safe.append(encode._settled(c))
+            kept.append(len(ids[-1]) - len(enc(c[safe[-1] :])))
+        assert encode.join_ids(chunks, ids, safe, kept, enc).tolist() == plain("".join(chunks))
+
+
+def test_settled_place_is_that_of_the_whole_chunk():
+    pattern = encode._pattern()
+    random.seed(5)
+    for _ in range(400):
+        c = "".join(random.choice(["word", " ", "中文", "，", "1", "'s", "\n", "  ", "é", "!?", "x" * 70]) for _ in range(random.randint(1, 400)))
+        starts = [m.start() for m in pattern.finditer(c)]
+        assert encode._settled(c) == (starts[-2] if len(starts) > 1 else 0)
 
 
 def test_token_ids_of_a_table(spark):
@@ -60,7 +69,7 @@ def test_token_ids_of_a_table(spark):
     long = " ".join(random.choice(["alpha", "beta's", "中文", "\n\n", "x" * 40, "  "]) for _ in range(9000))
     rows = [(1, long), (2, long[5000:] + "tail"), (3, ""), (4, None), (5, "<|endoftext|>"), (5, "<|endoftext|>"), (6, "y" * 9000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    enc = encode._encoder(encode.TOKENIZER).encode_ordinary
+    enc = encode._encoder(Path(encode.TOKENIZER).read_bytes()).encode_ordinary
     got = {r.doc_id: list(r.ids) for r in encode.token_ids(df, "doc_id", "text").collect()}
     assert got == {k: enc(t) if t else [] for k, t in rows}
     assert {r.doc_id: r.n_tokens for r in encode.token_counts(df, ["doc_id"], "text").distinct().collect()} == {k: len(v) for k, v in got.items()}
