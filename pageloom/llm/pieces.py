@@ -5,9 +5,10 @@ border there, line border, word border, else the same in the first half, else at
 inside a combined character). The next piece begins with up to ``overlap`` characters of it, fewer
 where a word would be cut. Where a piece begins decides all that follows, so a long item is done in
 ranges: each range, read with halos, works out for every place a piece may begin at near its start
-where the first piece beyond its end begins and how many lie between. Those tables are short; they
-are chained by prefix sums of the ranges' lengths, and the ranges emit their pieces by offset. No
-worker ever holds a long file whole.
+where the first piece beyond its end begins and how many lie between. Those tables are short; the
+tables of RUN neighbouring ranges are composed into one, the composed ones are chained by prefix sums
+of their lengths and numbers of pieces, and what enters each is carried down to its ranges, which emit
+their pieces by offset. No worker ever holds a long file whole, nor all tables of one.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 
 from pageloom.llm.arrowtext import in_parts
 
-RANGE = 1 << 18  # code points (bytes, for files) of an item that one worker handles at a time
+RANGE = 1 << 18  # bytes of a file that one worker handles at a time
+LIMITS = 4  # limits that a range of a text column holds
+RUN = 512  # neighbouring ranges whose tables are composed into one
 _PARAGRAPH = regex.compile(r"\n[ \t\r]*\n\s*")
 _LINE = regex.compile(r"\n")
 _SENTENCE = regex.compile(r"[.!?…]+[\"'”’»)\]]*\s+|[。！？；｡]+[”’」』）)]*")
@@ -112,7 +115,7 @@ def range_table(text: str, left: int, own: int, limit: int, overlap: int, is_las
         return at, n
 
     runs: list[list[int]] = []
-    for entry in range(left, left + min(limit, own)):
+    for entry in range(left, left + min(limit if left else 1, own)):  # the first range is entered at its start
         at, n = leave(entry)
         at -= left + own
         if runs and runs[-1][2:] == [at, n]:
@@ -122,32 +125,39 @@ def range_table(text: str, left: int, own: int, limit: int, overlap: int, is_las
     return [tuple(r) for r in runs]
 
 
-def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The entry and first piece number of every range of one item, from the ranges' tables in order."""
-    rows, entry, index = [], 0, 0
-    pdf = pdf.sort_values("range_no")
-    for item, no, own, froms, exits, counts in zip(pdf["item"], pdf["range_no"], pdf["own"], pdf["froms"], pdf["exits"], pdf["counts"], strict=True):
-        rows.append((item, no, entry, index))
+def _through(pdf: pd.DataFrame, entry: int, index: int) -> Iterator[tuple[int, int, int]]:
+    """(number, entry, first piece) of tables in order, and at last of what would follow them."""
+    no = -1
+    for no, own, froms, exits, counts in zip(pdf["no"], pdf["own"], pdf["froms"], pdf["exits"], pdf["counts"], strict=True):
+        yield no, entry, index
         if entry >= own:
             entry -= own
         else:
-            k = bisect_right(list(froms), entry) - 1
+            k = bisect_right(froms, entry) - 1
             entry, index = int(exits[k]), index + int(counts[k])
-    return pd.DataFrame(rows, columns=["item", "range_no", "entry", "first_index"])
+    yield no + 1, entry, index
 
 
-def _direct(limit: int, overlap: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_parts(batches, "text"):
-            key, index, content = [], [], []
-            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, piece in enumerate(split_text(text, limit, overlap)):
-                    key.append(item)
-                    index.append(k)
-                    content.append(piece)
-            yield pa.RecordBatch.from_arrays([pa.array(key, batch.schema.field(0).type), pa.array(index, pa.int32()), pa.array(content, pa.string())], ["item", "chunk_index", "content"])
+def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One table for a run of neighbouring ranges: the entries of the first one, followed through all."""
+    pdf = pdf.sort_values("no")
+    froms = pdf["froms"].iloc[0]
+    ends = [list(_through(pdf, int(entry), 0))[-1] for entry in froms]
+    return pd.DataFrame({"item": pdf["item"].iloc[:1], "run": pdf["run"].iloc[:1], "own": [pdf["own"].sum()], "froms": [froms], "exits": [[e for _, e, _ in ends]], "counts": [[n for _, _, n in ends]]})
 
-    return run
+
+def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The entry and first piece of every run of one item."""
+    pdf = pdf.rename(columns={"run": "no"}).sort_values("no")
+    rows = list(_through(pdf, 0, 0))[:-1]
+    return pd.DataFrame({"item": [pdf["item"].iloc[0]] * len(rows), "run": [r[0] for r in rows], "entry": [r[1] for r in rows], "index": [r[2] for r in rows]})
+
+
+def _enter(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The entry and first piece of every range of a run, from those of the run."""
+    pdf = pdf.sort_values("no")
+    rows = list(_through(pdf, int(pdf["entry"].iloc[0]), int(pdf["index"].iloc[0])))[:-1]
+    return pd.DataFrame({"item": [pdf["item"].iloc[0]] * len(rows), "range_no": [r[0] for r in rows], "entry": [r[1] for r in rows], "first_index": [r[2] for r in rows]})
 
 
 def _tables(limit: int, overlap: int):
@@ -157,7 +167,7 @@ def _tables(limit: int, overlap: int):
             found = [range_table(t, left, own, limit, overlap, last) for t, left, own, last in zip(x["text"], x["left"], x["own"], x["is_last"], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(3), *(pa.array([[r[k] for r in f] for f in found], pa.list_(pa.int64())) for k in (0, 2, 3))],
-                ["item", "range_no", "own", "froms", "exits", "counts"],
+                ["item", "no", "own", "froms", "exits", "counts"],
             )
 
     return run
@@ -195,27 +205,31 @@ def _ranges_of_texts(size: int, limit: int):
 
 
 def _by_ranges(ranges: DataFrame, limit: int, overlap: int, kind: str) -> DataFrame:
-    tables = ranges.mapInArrow(_tables(limit, overlap), f"item {kind}, range_no int, own bigint, froms array<bigint>, exits array<bigint>, counts array<bigint>")
-    entries = tables.groupBy("item").applyInPandas(_chain, f"item {kind}, range_no int, entry bigint, first_index bigint")
+    table = "own bigint, froms array<bigint>, exits array<bigint>, counts array<bigint>"
+    tables = ranges.mapInArrow(_tables(limit, overlap), f"item {kind}, no int, {table}").withColumn("run", F.expr(f"no div {RUN}"))
+    runs = tables.groupBy("item", "run").applyInPandas(_compose, f"item {kind}, run bigint, {table}")
+    entered = runs.groupBy("item").applyInPandas(_chain, f"item {kind}, run bigint, entry bigint, index bigint")
+    entries = tables.join(entered, ["item", "run"]).groupBy("item", "run").applyInPandas(_enter, f"item {kind}, range_no int, entry bigint, first_index bigint")
     return ranges.join(entries, ["item", "range_no"]).mapInArrow(_emit(limit, overlap), f"item {kind}, chunk_index int, content string")
 
 
-def oversized(df: DataFrame, key: str, text: str, limit: int, overlap: int = 60, range_size: int = RANGE) -> DataFrame:
+def oversized(df: DataFrame, key: str, text: str, limit: int, overlap: int = 60, range_size: int | None = None) -> DataFrame:
     """(key, chunk_index, content): the pieces of every item longer than ``limit`` code points.
 
     Items within the limit, empty and null ones give no row. Rows that repeat key and text are one
-    item; a key with several texts gives the pieces of each. A null key is a key. Texts up to
-    ``range_size`` are cut where they lie; longer ones by ranges. Other columns have no effect.
+    item; a key with several texts gives the pieces of each. A null key is a key. Every item is dealt
+    into ranges of ``range_size`` code points, LIMITS times the limit unless given, never less than
+    the limit; they go to different workers. Other columns have no effect.
     """
+    size = max(limit, range_size or LIMITS * limit)
     items = df.select(F.col(key).alias("item"), F.col(text).alias("text")).where(F.length("text") > limit)
-    items = items.withColumn("h", F.md5("text")).dropDuplicates(["item", "h"]).drop("h")
+    items = items.withColumn("h", F.md5("text")).dropDuplicates(["item", "h"])
     kind = items.schema["item"].dataType.simpleString()
-    short = items.where(F.length("text") <= range_size).mapInArrow(_direct(limit, overlap), f"item {kind}, chunk_index int, content string")
-    long = items.where(F.length("text") > range_size).withColumn("item", F.struct("item", F.md5("text").alias("h")))
-    ranges = long.mapInArrow(_ranges_of_texts(range_size, limit), f"item struct<item:{kind},h:string>, range_no int, left bigint, own bigint, is_last boolean, text string")
+    items = items.select(F.struct("item", "h").alias("item"), "text")  # a key may have several texts, and be null
+    of = f"struct<item:{kind},h:string>"
+    ranges = items.mapInArrow(_ranges_of_texts(size, limit), f"item {of}, range_no int, left bigint, own bigint, is_last boolean, text string")
     ranges = ranges.repartition("item", "range_no")
-    pieces = _by_ranges(ranges, limit, overlap, f"struct<item:{kind},h:string>").select(F.col("item.item").alias("item"), "chunk_index", "content")
-    return short.unionByName(pieces).withColumnRenamed("item", key)
+    return _by_ranges(ranges, limit, overlap, of).select(F.col("item.item").alias(key), "chunk_index", "content")
 
 
 def _read(path: str, begin: int, end: int) -> bytes:

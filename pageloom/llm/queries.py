@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm import encode, garbled, mix, nearest, pairs, pieces, scans, unify
-from pageloom.session import materialize, table
+from pageloom.session import materialize, shared_dir, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +60,15 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def p4_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages written as text files of any length, and cut by byte ranges of the files."""
+    path = f"{shared_dir(spark)}/pageloom-files-{uuid.uuid4().hex}"
+    pages = table(spark, sf_dir, "parent_chunks").select("parent_id", "page_content").distinct().repartitionByRange(4, "parent_id").sortWithinPartitions("parent_id", "page_content")
+    pages.select(F.coalesce("page_content", F.lit(""))).write.text(path)
+    cut = pieces.split_files(spark, path, PARENT_LIMIT, OVERLAP)
+    return cut.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("file_no"), "chunk_index", "content")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).where("chunk_index = 0").select("origin", "item_key").distinct()
 
@@ -98,7 +108,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.restore(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p3_unified": p3_unified, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p3_unified": p3_unified, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_files": p4_files, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
 ORACLE_SQL: dict[str, str] = {
     "p4_found": """
         SELECT DISTINCT 'parent' AS origin, parent_id AS item_key FROM parent_chunks WHERE length(page_content) > 4000

@@ -82,12 +82,16 @@ def test_oversized_items_and_files(spark, tmp_path):
     long = text_of(9000)
     df = spark.createDataFrame([("a", long), ("a", long), ("b", "short"), ("c", None), ("d", ""), (None, "z" * 150)], "k string, t string")
     want = pieces.split_text(long, 120, 20)
-    for size in (500, 1 << 18):
+    for size in (None, 500, 120, 1 << 18):
         got = {}
         for r in pieces.oversized(df, "k", "t", 120, 20, size).collect():
             got.setdefault(r.k, {})[r.chunk_index] = r.content
         assert set(got) == {"a", None} and [got["a"][i] for i in range(len(want))] == want and len(got["a"]) == len(want)
         assert "".join(got[None].values()).count("z") >= 150
+    # more ranges than one composed table holds
+    giant = text_of(120 * (pieces.RUN + 150))
+    got = pieces.oversized(spark.createDataFrame([(1, giant)], "k int, t string"), "k", "t", 120, 20, 120).orderBy("chunk_index").collect()
+    assert [r.content for r in got] == pieces.split_text(giant, 120, 20) and [r.chunk_index for r in got] == list(range(len(got)))
     (tmp_path / "f.txt").write_text(long)
     (tmp_path / "e.txt").write_text("")
     files = pieces.split_files(spark, str(tmp_path), 120, 20, 700).orderBy("chunk_index").collect()
