@@ -19,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,7 +100,7 @@ def _count(batches: Iterator[pa.RecordBatch], model: Model | None = None) -> Ite
 
     With a model, lines that it labels garbled are left out too.
     """
-    scorer = Scorer(model) if model else None
+    screen = Screen(Scorer(model)) if model else None
     symbol = _symbol()
     for batch in in_parts(batches, "text"):
         points, offsets = to_code_points(batch.column(0))
@@ -115,9 +116,9 @@ def _count(batches: Iterator[pa.RecordBatch], model: Model | None = None) -> Ite
         beside = np.concatenate((upper[1:] & ~start[1:], [False])) | np.concatenate(([False], upper[:-1])) & ~start
         odd = sign & beside | utf8_shaped(points) | (points == LOST) | (points >= 0xE000) & (points < 0xF900) | (points >= 0x80) & (points < 0xA0)
         sound = np.bincount(line, odd) == 0
-        if scorer:
-            lines = [x for text in batch.column(0).to_pylist() if text for x in text.removesuffix("\n").split("\n")]
-            sound &= np.array([x.isascii() or not label(x, scorer) for x in lines])
+        if screen:
+            first = line[np.minimum(offsets[:-1], len(points) - 1)]
+            sound[[first[r] + k for r, k in labelled(batch.column(0), screen)]] = False
         use = sound[line]
         s = symbol[points]
         before = np.concatenate(([10], s[:-1]))
@@ -153,7 +154,8 @@ def train(df: DataFrame, text: str) -> Model:
     texts = df.select(F.col(text).alias("text")).where("text is not null")
 
     def counted(first: Model | None) -> pd.DataFrame:
-        return texts.mapInArrow(lambda batches: _count(batches, first), "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()
+        held = df.sparkSession.sparkContext.broadcast(first) if first else None
+        return texts.mapInArrow(lambda batches: _count(batches, held.value if held else None), "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()
 
     return _fit(counted(_fit(counted(None))))
 
@@ -191,8 +193,7 @@ class Scorer:
         self.known: dict[int, float] = {}
         self.fits: dict[tuple, tuple[int, ...]] = {}
         self.chosen: dict[tuple, list[str]] = {}
-        self.most: dict[tuple, dict[str, float]] = {}
-        self.held = 0
+        self.runs: dict[tuple, tuple] = {}
 
     def array(self, before: np.ndarray, points: np.ndarray) -> np.ndarray:
         m = self.m
@@ -268,6 +269,17 @@ class Scorer:
             self.chosen[key] = got
         return [(x, item[1], item[2] if isinstance(item[0], tuple) else 0) for x, item in zip(got, items, strict=True)]
 
+    def made_of(self, first: int, run: str, after: int, following: int, among: list) -> tuple:
+        """What the states make of a run; runs of a word or two come again and again."""
+        key = (first, run, after, following if after == 32 else 0, tuple(s[0] for s in among))
+        if (got := self.runs.get(key)) is None:
+            got = _gains(first, list(run), after, following, self, among)
+            if len(run) < 24:
+                if len(self.runs) > 1 << 14:
+                    self.runs.clear()
+                self.runs[key] = got
+        return got
+
     def one(self, before: int, point: int) -> float:
         key = before << 21 | point
         if (got := self.known.get(key)) is None:
@@ -291,6 +303,12 @@ def _unseen(read_in: str) -> frozenset[int]:
     return frozenset(out)
 
 
+@lru_cache(16)
+def _leads(read_in: str) -> frozenset[str]:
+    """The characters of ASCII and those whose bytes can begin a UTF-8 sequence, in a single-byte encoding; and U+FFFD."""
+    return frozenset(ch for ch, b in _bytes_of(read_in).items() if b[0] < 0x80 or 0xC2 <= b[0] < 0xF5) | {"�"}
+
+
 @lru_cache(4096)
 def _fitting(lead: int, second: int, third: int) -> np.ndarray:
     """Code points of three UTF-8 bytes of which those given as 0xFF are unknown."""
@@ -309,6 +327,8 @@ def _undo_utf8(chars: list[str], read_in: str, likeliest=None, fitting=None) ->
     """
     data, ends = bytearray(), []
     table = _bytes_of(read_in) if read_in in SINGLE else None
+    if table is not None and _leads(read_in).isdisjoint(chars):
+        return None  # nothing can begin here
     for k, ch in enumerate(chars):
         if ch == "�":
             b = b"\xff"
@@ -358,7 +378,23 @@ def _undo_utf8(chars: list[str], read_in: str, likeliest=None, fitting=None) ->
     return out
 
 
+@lru_cache(64)
+def _originals(written: str, read_in: str) -> dict[str, str]:
+    """Garbled character -> original, where both encodings have one byte a character."""
+    out = {}
+    for ch, b in _bytes_of(read_in).items():
+        try:
+            out[ch] = b.decode(written)
+        except UnicodeDecodeError:
+            continue
+    return out
+
+
 def _undo_other(chars: list[str], written: str, read_in: str) -> list[tuple[str, int]] | None:
+    if written in SINGLE:
+        back = _originals(written, read_in)
+        got = [back.get(ch) for ch in chars]
+        return None if None in got else list(zip(got, range(len(got)), strict=True))
     table = _bytes_of(read_in)
     data = bytearray()
     for ch in chars:
@@ -422,8 +458,16 @@ _NEVER = ("Cn", "Co", "Cs", "Cc")  # kinds of characters no text was written wit
 _QUOTES = {"“": "”", "„": "“”", "‘": "’", "`": "`", '"': '"', "'": "'", "「": "」", "«": "»"}
 
 
-def _gains(first: int, chars: list[str], after: int, following: int, scorer: Scorer, among: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-    """What the states make of a run between ``first`` and ``after``: gains, places where originals start and end, and the originals."""
+@lru_cache(1 << 16)
+def _writable(original: str) -> bool:
+    return unicodedata.category(original)[:2] not in _NEVER or original in "\n\t"
+
+
+def _gains(first: int, chars: list[str], after: int, following: int, scorer: Scorer, among: list, closed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """What the states make of a run between ``first`` and ``after``: gains, places where originals start and end, and the originals.
+
+    ``closed`` is false for the part of a run that more of the run follows.
+    """
     one, k = scorer.one, max(len(among), 1)
     codes = [ord(c) for c in chars]
     bases = [one(x, y) for x, y in zip([first, *codes], codes)]
@@ -431,8 +475,12 @@ def _gains(first: int, chars: list[str], after: int, following: int, scorer: Sco
     gains = np.full((k, len(chars)), -1e6)
     starts, ends = np.zeros((k, len(chars)), bool), np.zeros((k, len(chars)), bool)
     made: list = [None] * k
+    pieces: dict[str, list] = {}
     for s, (name, undo, _) in enumerate(among):
-        for a, b in _pieces(chars, name):
+        read_in = name.split(">")[1].split()[0]
+        if read_in not in pieces:
+            pieces[read_in] = _pieces(chars, name)
+        for a, b in pieces[read_in]:
             got = undo(chars[a:b], scorer)
             if got is None or all(x == "�" for x, *_ in got):
                 continue
@@ -455,7 +503,7 @@ def _gains(first: int, chars: list[str], after: int, following: int, scorer: Sco
                 elif original == "�":  # possible only where characters were lost
                     gain = -6.0 if "�" in chars[at : last + 1] else -1e6
                 else:
-                    gain = one(before, ord(original)) - DROPPED * dropped if unicodedata.category(original)[:2] not in _NEVER or original in "\n\t" else -1e6
+                    gain = one(before, ord(original)) - DROPPED * dropped if _writable(original) else -1e6
                 if last >= at:
                     starts[s, at], ends[s, last] = True, True
                     gains[s, at : last + 1] = 0.0
@@ -464,68 +512,235 @@ def _gains(first: int, chars: list[str], after: int, following: int, scorer: Sco
                     gains[s, last] += gain
                 made[s].setdefault(last, []).append(original)
                 before, at = ord(original), max(at, last + 1)
-            if b == len(chars) and codes[-1] != before:  # the character after it is the same in all states
+            if closed and b == len(chars) and codes[-1] != before:  # the character after it is the same in all states
                 gains[s, b - 1] += one(before, after) - one(codes[-1], after) + eaten
             if eaten:
                 made[s][b - 1].append(_EATEN)
     return gains, starts, ends, made
 
 
-def _most(first: int, run: str, after: int, following: int, scorer: Scorer) -> dict[str, float]:
-    """The most that any stretch of a run can gain in each state, where that is above zero."""
-    key = (first, run, after, following if after == 32 else 0)
-    if (got := scorer.most.get(key)) is None:
-        gains, *_ = _gains(first, list(run), after, following, scorer, STATES)
-        best, here = np.zeros(len(STATES)), np.zeros(len(STATES))
-        for i in range(gains.shape[1]):
-            here = np.maximum(here + gains[:, i], 0.0)
-            best = np.maximum(best, here)
-        got = {STATES[s][0]: float(best[s]) for s in np.flatnonzero(best > 0)}
-        scorer.held += len(run) + 50
-        if scorer.held > 1 << 23:
-            scorer.most.clear()
-            scorer.held = 0
-        scorer.most[key] = got
-    return got
+def _most(first: int, run: str, after: int, following: int, scorer: Scorer, among: list = STATES, closed: bool = True) -> np.ndarray:
+    """The most that any stretch of a run can gain in each state."""
+    gains, *_ = _gains(first, list(run), after, following, scorer, among, closed)
+    best, here = np.zeros(len(among)), np.zeros(len(among))
+    for i in range(gains.shape[1]):
+        here = np.maximum(here + gains[:, i], 0.0)
+        best = np.maximum(best, here)
+    return best
 
 
 def _worth(line: str, scorer: Scorer, known: frozenset[str] | None = None) -> list:
     """The states that the best path of a line can be in: a span gains no more than the line's runs can in its state."""
-    total: dict[str, float] = {}
+    among = [x for x in STATES if known is None or x[0] in known]
+    total = np.zeros(len(among))
     for x in _OUTSIDE.finditer(line):
         begin, end = x.span()
-        for name, most in _most(ord(line[begin - 1]) if begin else 10, x[0], ord(line[end]) if end < len(line) else 10, ord(line[end + 1]) if end + 1 < len(line) else 10, scorer).items():
-            total[name] = total.get(name, 0.0) + most
-    return [s for s in STATES if total.get(s[0], 0.0) > (s[2] if known is None else ENTER_KNOWN) and (known is None or s[0] in known)]
+        total += _most(ord(line[begin - 1]) if begin else 10, x[0], ord(line[end]) if end < len(line) else 10, ord(line[end + 1]) if end + 1 < len(line) else 10, scorer, among)
+    return [s for s, most in zip(among, total, strict=True) if most > (s[2] if known is None else ENTER_KNOWN)]
 
 
-def label(text: str, scorer: Scorer, known: frozenset[str] | None = None) -> list[tuple[int, int, str, str]]:
+_WIDE = tuple(k for k, s in enumerate(STATES) if s[0] in ("utf-8>gb18030", "utf-8>cp932", "utf-8>big5"))
+_NARROW = tuple(k for k in range(len(STATES)) if k not in _WIDE)
+
+
+class Screen:
+    """For the lines of a batch, the states their best paths can be in; no line is decided here.
+
+    What a line can gain in a state is bounded from above. States read in one byte a character touch
+    only stretches of such characters: each distinct stretch with its neighbours is worked out
+    exactly once in a worker. For those read in several bytes, a span has to consist of UTF-8 sequences,
+    and each of them counts with the most its character can ever have.
+    """
+
+    def __init__(self, scorer: Scorer) -> None:
+        self.scorer, m = scorer, scorer.m
+        self.narrow = np.zeros(0x110000, bool)
+        for name in SINGLE:
+            self.narrow[[ord(c) for c in _bytes_of(name) if ord(c) >= 0x80]] = True
+        self.lead = np.zeros(0x110000, bool)
+        for name in _NBSP_AT_A0:
+            self.lead[[ord(c) for c, x in _bytes_of(name[6:]).items() if 0xC2 <= x[0] < 0xE0]] = True
+        self.done: dict[int, np.ndarray] = {}
+        self.coded = {k: (np.zeros(0x110000, bool), np.zeros((0x110000, 4), np.uint8), np.zeros(0x110000, np.uint8)) for k in _WIDE}
+        # the most any character can have
+        symbol, rest = scorer.symbol, float(scorer.rest.max())
+        weight, share = np.full(0x110000, m.floor, np.float32), np.full(0x110000, m.floor, np.float32)
+        weight[m.points], share[m.points] = m.weight[0], m.weight[1]
+        best = np.full(_SYMBOLS + _CLASSES, -np.inf)
+        np.maximum.at(best, m.pairs & 0x1FFFFF, m.given)
+        share[:_SYMBOLS] = 0.0
+        self.most = np.maximum(best[symbol] + share, rest + weight).astype(np.float32)
+
+    def _bytes(self, points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of characters in a state's reading encoding, and the character of each; 0 where there is none."""
+        known, table, size = self.coded[k]
+        read_in = STATES[k][0][6:]
+        for x in np.unique(points[~known[points]]).tolist():
+            try:
+                data = chr(x).encode(read_in) if x >= 0x80 else b"\0"
+            except UnicodeEncodeError:
+                data = bytes([x & 0xFF]) if x < 0x100 else bytes([{0xF8F0: 0xA0, 0xF8F1: 0xFD, 0xF8F2: 0xFE, 0xF8F3: 0xFF}.get(x, 0)])
+            known[x], table[x, : len(data)], size[x] = True, list(data), len(data)
+        n = size[points].astype(np.int64)
+        at = np.repeat(np.arange(len(points)), n)
+        return table[points[at], np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)], at
+
+    def _narrow_totals(self, points: np.ndarray, line: np.ndarray, totals: np.ndarray, text: str) -> None:
+        inside = self.narrow[points] & (points >= 0x80)
+        new = np.concatenate(([True], line[1:] != line[:-1]))
+        begin = np.flatnonzero(inside & (np.concatenate(([False], ~inside[:-1])) | new))
+        if not len(begin):
+            return
+        after_end = np.flatnonzero(inside & np.concatenate((~inside[1:] | new[1:], [True]))) + 1
+        size = after_end - begin
+        padded, ends = np.append(points, [10, 10]), np.append(new, [True, True])
+        first = np.where(new[begin], 10, padded[begin - 1])
+        after = np.where(ends[after_end], 10, padded[after_end])
+        beyond = np.where(ends[after_end] | ends[np.minimum(after_end + 1, len(ends) - 1)], 10, padded[np.minimum(after_end + 1, len(padded) - 1)])
+        following = np.where((after == 32) & self.lead[points[after_end - 1]], beyond, 0)  # has an effect only there
+        # 64 bits of hash name a stretch and its neighbours
+        mix = lambda x: (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        every = np.repeat(begin, size)
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        one = mix(mix(points[every + place].astype(np.uint64) + np.uint64(1)) + place.astype(np.uint64))
+        key = np.add.reduceat(one, np.cumsum(size) - size)
+        for part in (first, after, following, size):
+            key = mix(key + part.astype(np.uint64) + np.uint64(1))
+        names, where, back = np.unique(key, return_index=True, return_inverse=True)
+        among = [STATES[k] for k in _NARROW]
+        gains = np.empty((len(names), len(among)))
+        for r, (name, w) in enumerate(zip(names.tolist(), where.tolist(), strict=True)):
+            if (got := self.done.get(name)) is None:
+                if len(self.done) > 1 << 18:
+                    self.done.clear()
+                a = int(after[w])
+                got = self.done[name] = _most(int(first[w]), text[begin[w] : after_end[w]], a, int(following[w]) or int(beyond[w]), self.scorer, among, a < 0x80)
+            gains[r] = got
+        some = np.flatnonzero(gains.any(axis=1)[back])  # most stretches can gain nothing
+        of = line[begin[some]]
+        for j, k in enumerate(_NARROW):
+            totals[:, k] += np.bincount(of, gains[back[some], j], len(totals))
+
+    def _wide_totals(self, points: np.ndarray, line: np.ndarray, totals: np.ndarray) -> None:
+        new = np.concatenate(([True], line[1:] != line[:-1]))
+        before = np.where(new, 10, np.concatenate(([10], points[:-1])))
+        base = self.scorer.array(before, points)
+        # what the character after a run can gain by the run's new end
+        high = points >= 0x80
+        ends = high & np.concatenate((~high[1:] | new[1:], [True]))
+        after = np.append(points[1:], 10)
+        after = np.where(np.append(new[1:], True), 10, after)
+        bonus = np.zeros(len(points))
+        at = np.flatnonzero(ends)
+        bonus[at] = np.maximum(self.most[after[at]] - self.scorer.array(points[at], after[at]), 0.0)
+        for k in _WIDE:
+            b, c = self._bytes(points, k)
+            n = len(b)
+            follows = np.append((b & 0xC0) == 0x80, [False] * 3)
+            one, two, three = follows[1 : n + 1], follows[2 : n + 2], follows[3 : n + 3]
+            # sequences never overlap, as a byte that leads one can't be inside another
+            size = np.where(b < 0x80, b > 0, np.where(b < 0xE0, (b >= 0xC2) & one, np.where(b < 0xF0, one & two, (b < 0xF5) & one & two & three)) * (2 + (b >= 0xE0) + (b >= 0xF0)))
+            i = np.flatnonzero(size)
+            i = i[line[c[i + size[i] - 1]] == line[c[i]]]
+            if not len(i):
+                continue
+            size, end = size[i], i + size[i]
+            point = b[i].astype(np.int64)
+            for length in (2, 3, 4):
+                r = np.flatnonzero(size == length)
+                point[r] &= 0xFF >> (length + 1)
+                for j in range(1, length):
+                    point[r] = point[r] << 6 | b[i[r] + j] & 0x3F
+            # a character counts in the sequence that holds its last byte, or is left out where another span broke in it
+            closes = np.append(c[1:] != c[:-1], True)
+            cost = np.concatenate(([0.0], np.cumsum(np.where(closes & (b > 0), base[c], 0.0))))
+            opens = np.concatenate(([True], closes[:-1]))
+            filled = np.concatenate(([0], np.cumsum(b > 0)))
+            goes_on = np.concatenate(([False], (filled[i[1:]] == filled[end[:-1]]) & (line[c[i[1:]]] == line[c[i[:-1]]])))
+            gain = self.most[np.minimum(point, 0x10FFFF)] - (cost[end] - cost[i]) + np.where(closes[end - 1], bonus[c[end - 1]], 0.0)
+            broken = ~goes_on & ~opens[i] & closes[i]
+            gain = np.where(broken, gain + base[c[i]], gain)
+            total = np.cumsum(gain - np.where(goes_on, 0.0, 1e6))
+            least = np.minimum.accumulate(np.where(goes_on, np.concatenate(([0.0], total[:-1])), total - gain))
+            may_end = np.flatnonzero(closes[end - 1])
+            np.maximum.at(totals[:, k], line[c[i[may_end]]], (total - least)[may_end])
+
+    def candidates(self, points: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
+        """(lines, states): whether the state is worth a look. ``points`` are those of lines that aren't ASCII."""
+        totals = np.zeros((lines, len(STATES)))
+        if len(points):
+            text = points.astype("<u4").tobytes().decode("utf-32-le")
+            self._narrow_totals(points, line, totals, text)
+            self._wide_totals(points, line, totals)
+        return totals > np.array([s[2] for s in STATES])
+
+
+def labelled(column: pa.Array, screen: Screen) -> dict[tuple[int, int], list]:
+    """(row, line number) -> spans, of the lines of a string column that have any."""
+    points, offsets = to_code_points(column)
+    if not len(points) or points.max() < 0x80:
+        return {}
+    points = points.astype(np.int64)
+    row = row_of(offsets)
+    newline = points == 10
+    counted = np.concatenate(([0], np.cumsum(newline)))
+    number = counted[:-1] - counted[offsets[:-1]][row]
+    start = np.concatenate(([True], newline[:-1] | (row[1:] != row[:-1])))
+    line = np.cumsum(start) - 1
+    high = np.flatnonzero(np.bincount(line, points >= 0x80) > 0)
+    name = np.full(line[-1] + 1, -1)
+    name[high] = np.arange(len(high))
+    use = (name[line] >= 0) & ~newline
+    points, line, at = points[use], name[line[use]], np.flatnonzero(use)
+    begin = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+    end = np.append(begin[1:], len(points))
+    worth = screen.candidates(points, line, len(high))
+    lost = np.bincount(line, points == LOST, len(high)) > 0
+    out = {}
+    for k in np.flatnonzero(worth.any(axis=1) | lost).tolist():
+        text = points[begin[k] : end[k]].astype("<u4").tobytes().decode("utf-32-le")
+        got = label(text, screen.scorer, among=None if lost[k] else [STATES[j] for j in np.flatnonzero(worth[k])])
+        if got:
+            first = at[begin[k]]
+            out[int(row[first]), int(number[first])] = got
+    return out
+
+
+def label(text: str, scorer: Scorer, known: frozenset[str] | None = None, among: list | None = None) -> list[tuple[int, int, str, str]]:
     """The best path through the states: spans (begin, end, state, original text) that aren't clean.
 
     A span that stands alone between quotation marks or in code marks, as a sample of one word, is
     an example of garbled text and belongs to the clean state. States that are ``known`` from other
-    lines of the text are the only ones looked at then, and cheaper to enter.
+    lines of the text are the only ones looked at then, and cheaper to enter. ``among`` gives the
+    states that the path can be in, where that is known.
     """
     runs = [x.span() for x in _OUTSIDE.finditer(text)]
-    among = _worth(text, scorer, known)
+    among = _worth(text, scorer, known) if among is None else among
     if not among and "�" not in text:
         return []
-    one = scorer.one
     codes = [ord(c) for c in text]
     n = len(codes)
     none = -1e9
+    enter = np.array([s[2] if known is None else ENTER_KNOWN for s in among])
+    made_of = [scorer.made_of(codes[begin - 1] if begin else 10, text[begin:end], codes[end] if end < n else 10, codes[end + 1] if end + 1 < n else 10, among) for begin, end in runs] if among else []
+    if among:
+        # a state pays for being entered each time, so one whose best stay gains less is never on the path
+        total = np.cumsum(np.concatenate([x[0] for x in made_of], axis=1), axis=1)
+        least = np.minimum.accumulate(np.concatenate((np.zeros((len(among), 1)), total[:, :-1]), axis=1), axis=1)
+        use = np.flatnonzero((total - least).max(axis=1) > enter - 1e-3)
+        among, enter = [among[s] for s in use], enter[use]
+    if not among and "�" not in text:
+        return []
     clean = 0.0
-    enter = np.array([s[2] if known is None else ENTER_KNOWN for s in among] or [0.0])
     k = len(enter)
     best = np.full(k, none)
     steps: list[tuple[int, int, list]] = []  # run and place of the step, what each state makes of the run
     came_clean: list[int] = []
     came_state: list[np.ndarray] = []
     leaves = np.ones(k, bool)  # states whose original character is complete
-    for begin, end in runs:
-        chars = list(text[begin:end])
-        gains, starts, ends, made = _gains(codes[begin - 1] if begin else 10, chars, codes[end] if end < n else 10, codes[end + 1] if end + 1 < n else 10, scorer, among)
-        for i in range(len(chars)):
+    for (begin, end), (gains, starts, ends, made) in zip(runs, made_of, strict=True) if among else ():
+        gains, starts, ends, made = gains[use], starts[use], ends[use], [made[s] for s in use]
+        for i in range(end - begin):
             out = np.where(leaves, best, none)
             to_clean = int(np.argmax(out)) if out.max() > clean else -1
             fresh = np.where(starts[:, i], clean - enter, none)
@@ -537,7 +752,7 @@ def label(text: str, scorer: Scorer, known: frozenset[str] | None = None) -> lis
             best[best < -1e5] = none
             leaves = ends[:, i]
     out = np.where(leaves, best, none)
-    state = int(np.argmax(out)) if out.max() > clean else -1
+    state = int(np.argmax(out)) if k and out.max() > clean else -1
     marks = []
     for t in range(len(steps) - 1, -1, -1):
         marks.append(state)
@@ -602,20 +817,19 @@ def _example(text: str, begin: int, end: int, garbled: set[int]) -> bool:
     return False
 
 
-def _restore(model: Model, keep: list[str]):
+def _restore(model: Broadcast, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = Scorer(model.value)
+        screen = Screen(scorer)
         for batch in in_parts(batches, "__text"):
             column = batch.column(batch.schema.get_field_index("__text"))
             texts = column.to_pylist()
             restored, states = list(texts), [[] for _ in texts]
-            for r, text in enumerate(texts):
-                if not text or text.isascii():
-                    continue
-                lines = text.split("\n")
-                spans = {k: got for k, x in enumerate(lines) if not x.isascii() and (got := label(x, scorer))}
-                if not spans:
-                    continue
+            garbled: dict[int, dict[int, list]] = {}
+            for (r, k), got in labelled(column, screen).items():
+                garbled.setdefault(r, {})[k] = got
+            for r, spans in garbled.items():
+                lines = texts[r].split("\n")
                 # what one line shows makes the same in the others likelier
                 known = frozenset(name for got in spans.values() for _, _, name, _ in got)
                 spans = {k: got for k, x in enumerate(lines) if not x.isascii() and (got := label(x, scorer, known))} | ({} if known - {"lost"} else spans)
@@ -642,4 +856,4 @@ def restore(df: DataFrame, key: str, text: str, model: Model | None = None) -> D
     model = model or train(df, text)
     rows = df.select(F.col(key).alias(key), F.col(text).alias("__text"))
     kind = rows.schema[key].dataType.simpleString()
-    return rows.mapInArrow(_restore(model, [key]), f"`{key}` {kind}, restored string, pairs array<string>")
+    return rows.mapInArrow(_restore(df.sparkSession.sparkContext.broadcast(model), [key]), f"`{key}` {kind}, restored string, pairs array<string>")
