@@ -118,7 +118,7 @@ def _count(batches: Iterator[pa.RecordBatch], model: Model | None = None) -> Ite
         sound = np.bincount(line, odd) == 0
         if screen:
             first = line[np.minimum(offsets[:-1], len(points) - 1)]
-            sound[[first[r] + k for r, k in labelled(batch.column(0), screen)]] = False
+            sound[[first[r] + k for r, k in labelled(batch.column(0), screen, suspect)]] = False
         use = sound[line]
         s = symbol[points]
         before = np.concatenate(([10], s[:-1]))
@@ -269,16 +269,20 @@ class Scorer:
             self.chosen[key] = got
         return [(x, item[1], item[2] if isinstance(item[0], tuple) else 0) for x, item in zip(got, items, strict=True)]
 
-    def made_of(self, first: int, run: str, after: int, following: int, among: list) -> tuple:
-        """What the states make of a run; runs of a word or two come again and again."""
-        key = (first, run, after, following if after == 32 else 0, tuple(s[0] for s in among))
+    def made_of(self, first: int, run: str, after: int, following: int, among: list, closed: bool = True) -> tuple:
+        """What the states make of a run; runs of a word or two come again and again, so each state's part is kept."""
+        key = (first, run, after, following if after == 32 else 0, closed)
         if (got := self.runs.get(key)) is None:
-            got = _gains(first, list(run), after, following, self, among)
+            if len(self.runs) > 1 << 15:
+                self.runs.clear()
+            got = {}
             if len(run) < 24:
-                if len(self.runs) > 1 << 14:
-                    self.runs.clear()
                 self.runs[key] = got
-        return got
+        if missing := [s for s in among if s[0] not in got]:
+            for s, *row in zip(missing, *_gains(first, list(run), after, following, self, missing, closed), strict=True):
+                got[s[0]] = row
+        rows = [got[s[0]] for s in among]
+        return np.array([x[0] for x in rows]), np.array([x[1] for x in rows]), np.array([x[2] for x in rows]), [x[3] for x in rows]
 
     def one(self, before: int, point: int) -> float:
         key = before << 21 | point
@@ -521,17 +525,14 @@ def _gains(first: int, chars: list[str], after: int, following: int, scorer: Sco
 
 def _most(first: int, run: str, after: int, following: int, scorer: Scorer, among: list = STATES, closed: bool = True) -> np.ndarray:
     """The most that any stretch of a run can gain in each state."""
-    gains, *_ = _gains(first, list(run), after, following, scorer, among, closed)
-    best, here = np.zeros(len(among)), np.zeros(len(among))
-    for i in range(gains.shape[1]):
-        here = np.maximum(here + gains[:, i], 0.0)
-        best = np.maximum(best, here)
-    return best
+    return np.maximum(_stays([scorer.made_of(first, run, after, following, among, closed)], len(among)), 0.0)
 
 
 def _worth(line: str, scorer: Scorer, known: frozenset[str] | None = None) -> list:
     """The states that the best path of a line can be in: a span gains no more than the line's runs can in its state."""
     among = [x for x in STATES if known is None or x[0] in known]
+    if not among:
+        return []
     total = np.zeros(len(among))
     for x in _OUTSIDE.finditer(line):
         begin, end = x.span()
@@ -539,6 +540,7 @@ def _worth(line: str, scorer: Scorer, known: frozenset[str] | None = None) -> li
     return [s for s, most in zip(among, total, strict=True) if most > (s[2] if known is None else ENTER_KNOWN)]
 
 
+_RANK = {s: k for k, s in enumerate(STATES)}
 _WIDE = tuple(k for k, s in enumerate(STATES) if s[0] in ("utf-8>gb18030", "utf-8>cp932", "utf-8>big5"))
 _NARROW = tuple(k for k in range(len(STATES)) if k not in _WIDE)
 
@@ -666,17 +668,39 @@ class Screen:
             np.maximum.at(totals[:, k], line[c[i[may_end]]], (total - least)[may_end])
 
     def candidates(self, points: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
-        """(lines, states): whether the state is worth a look. ``points`` are those of lines that aren't ASCII."""
+        """(lines, states): the most a line can gain in a state. ``points`` are those of lines that aren't ASCII."""
         totals = np.zeros((lines, len(STATES)))
         if len(points):
             text = points.astype("<u4").tobytes().decode("utf-32-le")
             self._narrow_totals(points, line, totals, text)
             self._wide_totals(points, line, totals)
-        return totals > np.array([s[2] for s in STATES])
+        return totals
+
+
+def _runs_of(text: str, scorer: Scorer, among: list) -> tuple[list, list]:
+    """The runs outside ASCII of a line, and what the states make of each."""
+    runs, n = [x.span() for x in _OUTSIDE.finditer(text)], len(text)
+    made = [scorer.made_of(ord(text[begin - 1]) if begin else 10, text[begin:end], ord(text[end]) if end < n else 10, ord(text[end + 1]) if end + 1 < n else 10, among) for begin, end in runs] if among else []
+    return runs, made
+
+
+def _stays(made: list, states: int) -> np.ndarray:
+    """The most a single stay in each state gains."""
+    total = np.cumsum(np.concatenate([x[0] for x in made], axis=1), axis=1)
+    least = np.minimum.accumulate(np.concatenate((np.zeros((states, 1)), total[:, :-1]), axis=1), axis=1)
+    return (total - least).max(axis=1)
 
 
-def labelled(column: pa.Array, screen: Screen) -> dict[tuple[int, int], list]:
-    """(row, line number) -> spans, of the lines of a string column that have any."""
+def suspect(text: str, scorer: Scorer, among: list) -> bool:
+    """Whether a stay in one of the states would pay for entering it."""
+    return any(_stays(_runs_of(text, scorer, [s])[1], 1)[0] > s[2] for s in among)
+
+
+def labelled(column: pa.Array, screen: Screen, of=None) -> dict[tuple[int, int], list]:
+    """(row, line number) -> spans, of the lines of a string column that have any.
+
+    With ``of`` = suspect the lines are only told apart, which is enough for training.
+    """
     points, offsets = to_code_points(column)
     if not len(points) or points.max() < 0x80:
         return {}
@@ -694,12 +718,17 @@ def labelled(column: pa.Array, screen: Screen) -> dict[tuple[int, int], list]:
     points, line, at = points[use], name[line[use]], np.flatnonzero(use)
     begin = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
     end = np.append(begin[1:], len(points))
-    worth = screen.candidates(points, line, len(high))
+    totals = screen.candidates(points, line, len(high))
+    worth = totals > np.array([s[2] for s in STATES])
     lost = np.bincount(line, points == LOST, len(high)) > 0
     out = {}
     for k in np.flatnonzero(worth.any(axis=1) | lost).tolist():
         text = points[begin[k] : end[k]].astype("<u4").tobytes().decode("utf-32-le")
-        got = label(text, screen.scorer, among=None if lost[k] else [STATES[j] for j in np.flatnonzero(worth[k])])
+        among = [STATES[j] for j in np.argsort(-totals[k], kind="stable") if worth[k, j]]
+        if of is not None:
+            got = not lost[k] and of(text, screen.scorer, among)
+        else:
+            got = label(text, screen.scorer, among=None if lost[k] else sorted(among, key=_RANK.get))
         if got:
             first = at[begin[k]]
             out[int(row[first]), int(number[first])] = got
@@ -714,20 +743,15 @@ def label(text: str, scorer: Scorer, known: frozenset[str] | None = None, among:
     lines of the text are the only ones looked at then, and cheaper to enter. ``among`` gives the
     states that the path can be in, where that is known.
     """
-    runs = [x.span() for x in _OUTSIDE.finditer(text)]
     among = _worth(text, scorer, known) if among is None else among
     if not among and "�" not in text:
         return []
-    codes = [ord(c) for c in text]
-    n = len(codes)
     none = -1e9
     enter = np.array([s[2] if known is None else ENTER_KNOWN for s in among])
-    made_of = [scorer.made_of(codes[begin - 1] if begin else 10, text[begin:end], codes[end] if end < n else 10, codes[end + 1] if end + 1 < n else 10, among) for begin, end in runs] if among else []
+    runs, made_of = _runs_of(text, scorer, among)
     if among:
         # a state pays for being entered each time, so one whose best stay gains less is never on the path
-        total = np.cumsum(np.concatenate([x[0] for x in made_of], axis=1), axis=1)
-        least = np.minimum.accumulate(np.concatenate((np.zeros((len(among), 1)), total[:, :-1]), axis=1), axis=1)
-        use = np.flatnonzero((total - least).max(axis=1) > enter - 1e-3)
+        use = np.flatnonzero(_stays(made_of, len(among)) > enter - 1e-3)
         among, enter = [among[s] for s in use], enter[use]
     if not among and "�" not in text:
         return []
@@ -769,7 +793,7 @@ def label(text: str, scorer: Scorer, known: frozenset[str] | None = None, among:
             spans.append([place, place + 1, s, original])
     named = [(b, e + o.endswith(_EATEN), among[s][0], o.replace(_EATEN, "")) for b, e, s, o in spans]
     covered = {i for b, e, _, _ in named for i in range(b, e)}
-    named += [(i, i + 1, "lost", "�") for i, c in enumerate(codes) if c == LOST and i not in covered]
+    named += [(i, i + 1, "lost", "�") for i, c in enumerate(text) if c == "�" and i not in covered]
     return sorted(x for x in named if not _example(text, x[0], x[1], covered))
 
 
