@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,16 +13,18 @@ def skip_reasons(incoming: DataFrame, manifest: DataFrame, config_hash: str, ski
     """(source_file, skip, reason) of incoming files (source_file, raw_file_hash).
 
     ``manifest`` has (source_file, raw_file_hash, status, config_hash, markdown_exists). The
-    configuration is compared for each document, so one document's new index doesn't make the
-    others look current.
+    configuration is compared first, for each document, so one document's new index doesn't make
+    the others look current; a new document meets a changed configuration where the manifest has
+    rows and none of them is of this one.
     """
+    current = manifest.agg((F.count(F.lit(1)) > 0).alias("any"), F.coalesce(F.max(F.col("config_hash").eqNullSafe(F.lit(config_hash))), F.lit(False)).alias("same"))
     m = manifest.select("source_file", F.col("raw_file_hash").alias("old_hash"), "status", "config_hash", "markdown_exists", F.lit(True).alias("known"))
-    j = incoming.join(m, "source_file", "left")
+    j = incoming.join(m, "source_file", "left").join(F.broadcast(current))  # one row
     if not skip:
         reason = F.lit("skip_disabled")
     else:
         reason = (
-            F.when(F.col("known").isNull(), "new_document").when(~F.col("config_hash").eqNullSafe(F.lit(config_hash)), "index_config_changed").when(~F.col("status").eqNullSafe(F.lit("success")), "previous_index_not_successful")
+            F.when(F.coalesce(F.col("known"), F.lit(False)) & ~F.col("config_hash").eqNullSafe(F.lit(config_hash)) | F.col("known").isNull() & F.col("any") & ~F.col("same"), "index_config_changed").when(F.col("known").isNull(), "new_document").when(~F.col("status").eqNullSafe(F.lit("success")), "previous_index_not_successful")
             .when(~F.col("old_hash").eqNullSafe(F.col("raw_file_hash")), "file_changed").when(~F.coalesce("markdown_exists", F.lit(False)), "markdown_missing").otherwise("unchanged_file")
         )
     return j.select("source_file", (reason == "unchanged_file").alias("skip"), reason.alias("reason"))
@@ -61,3 +66,43 @@ def check_dimension(rows: DataFrame, vector: str, dim: int) -> DataFrame:
 def stage_log(results: DataFrame) -> DataFrame:
     """A row for each stage of results (source_file, stages array<struct<stage,status,elapsed_ms,error>>)."""
     return results.select("source_file", F.posexplode("stages").alias("stage_no", "s")).select("source_file", "stage_no", "s.*")
+
+
+def delete_document(tables: dict[str, DataFrame], doc_id: str | None, names: list[str], parent_ids: list[str] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables left, report): a document taken out of every table that has it.
+
+    A row goes if its doc_id, source_file or source is the document's, or its parent_id is among
+    those given. The report has a row for each table with the rows it had and lost; a table of other
+    columns is left as it is with an error in its row, and the others are done all the same.
+    """
+    left, report, spark = {}, None, None
+    for name, df in tables.items():
+        spark = spark or df.sparkSession
+        gone = F.lit(False)
+        if doc_id is not None and "doc_id" in df.columns:
+            gone = gone | F.coalesce(F.col("doc_id").cast("string") == doc_id, F.lit(False))
+        for column, values in (("source_file", names), ("source", names), ("parent_id", parent_ids or [])):
+            if column in df.columns and values:
+                gone = gone | F.coalesce(F.col(column).isin(values), F.lit(False))
+        usable = bool({"doc_id", "source_file", "source", "parent_id"} & set(df.columns))
+        left[name] = df.where(~gone) if usable else df
+        row = df.agg(F.lit(name).alias("artifact"), F.count(F.lit(1)).alias("rows"), F.count_if(gone).alias("deleted"), F.lit(None if usable else "no key column").alias("error"))
+        report = row if report is None else report.unionByName(row)
+    return left, report
+
+
+def collection_stats(parents: DataFrame, children: DataFrame) -> DataFrame:
+    """(documents, parents, children, characters) of an index."""
+    a = parents.agg(F.count(F.lit(1)).alias("parents"), F.countDistinct("doc_id").alias("documents"), F.coalesce(F.sum(F.length("page_content")), F.lit(0)).alias("characters"))
+    return a.join(F.broadcast(children.agg(F.count(F.lit(1)).alias("children"))))  # one row each
+
+
+def config_hash(config: dict) -> str:
+    """A hash of a configuration that its order and spaces don't change."""
+    return hashlib.sha256(json.dumps(config, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
+def selected_pages(pages: DataFrame, chosen: DataFrame, file: str, number: str = "page_number") -> DataFrame:
+    """The pages of a rebuild, of ``chosen`` (file, number); a page without number counts as page 1."""
+    want = chosen.select(file, F.col(number).alias("__n")).distinct()
+    return pages.withColumn("__n", F.coalesce(number, F.lit(1))).join(want, [file, "__n"], "left_semi").drop("__n")

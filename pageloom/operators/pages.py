@@ -21,7 +21,8 @@ def split_pages(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     A document with end-of-page markers is divided at them, each with its own number; what follows
     the last marker is the page after it. One with form feeds is divided there, and blank pages are
-    left out but counted. Any other is one page without number.
+    left out but counted; one of blank pages only is one empty page. Any other is one page without
+    number.
     """
     body = docs.select(F.col(key).alias("doc"), F.coalesce(text, F.lit("")).alias("text"))
     marked = body.where(F.col("text").rlike(r"(?m)" + MARKER.replace("^", "(?:^)")))
@@ -34,8 +35,9 @@ def split_pages(docs: DataFrame, key: str, text: str) -> DataFrame:
     other = body.join(marked.select("doc"), "doc", "left_anti")
     fed = other.where(F.contains("text", F.lit("\f"))).select("doc", F.posexplode(F.split("text", "\f")).alias("page_pos", "raw_text")).where(T.strip(F.col("raw_text")) != "")
     fed = fed.select("doc", "page_pos", (F.col("page_pos") + 1).alias("page_number"), T.strip(F.col("raw_text")).alias("raw_text"))
+    blank = other.where(F.contains("text", F.lit("\f")) & (T.strip(F.replace(F.col("text"), F.lit("\f"), F.lit(""))) == "")).select("doc", F.lit(0).alias("page_pos"), F.lit(None).cast("int").alias("page_number"), F.lit("").alias("raw_text"))
     plain = other.where(~F.contains("text", F.lit("\f"))).select("doc", F.lit(0).alias("page_pos"), F.lit(None).cast("int").alias("page_number"), F.col("text").alias("raw_text"))
-    return pages.unionByName(fed).unionByName(plain).withColumnRenamed("doc", key)
+    return pages.unionByName(fed).unionByName(blank).unionByName(plain).withColumnRenamed("doc", key)
 
 
 def lines(pages: DataFrame, page_key: str, text: str = "raw_text") -> DataFrame:
@@ -63,11 +65,15 @@ def page_number_lines(page_lines: DataFrame, scan: int = 3) -> DataFrame:
     return page_lines.where(edge & ~F.col("in_fence") & T.is_page_number(F.col("line"), F.col("page_number")))
 
 
-def duplicate_headings(page_lines: DataFrame, page: str) -> DataFrame:
-    """Headings that repeat the line before them on the same page, blank lines aside."""
+def duplicate_headings(page_lines: DataFrame, page: str, between: str | None = None) -> DataFrame:
+    """Headings that repeat the line before them on the same page, blank lines aside.
+
+    Lines where the column ``between`` holds stand between two headings without being one.
+    """
     full = page_lines.where((T.strip(F.col("line")) != ""))
     by = Window.partitionBy(page).orderBy("line_no")
-    key = F.when(~F.col("in_fence") & T.heading_level(F.col("line")).isNotNull(), T.heading_key(F.col("line")))
+    heading = ~F.col("in_fence") & T.heading_level(F.col("line")).isNotNull()
+    key = F.when(heading if between is None else heading & ~F.coalesce(between, F.lit(False)), T.heading_key(F.col("line")))
     return full.withColumn("k", key).withColumn("before", F.lag("k").over(by)).where("k = before").drop("before").withColumnRenamed("k", "heading")
 
 

@@ -15,12 +15,6 @@ from pageloom.functions import text as T
 QUERY_BLOCK, ITEM_BLOCK = 1024, 8192
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays, in double."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
 def unit(v: Column) -> Column:
     """A vector of length one; one of length zero stays as it is."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
@@ -87,10 +81,13 @@ def sparse_search(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
 
     A query of one term ranks by its occurrences, 0.1 / j² for the j-th; one of several by the
     distances of all pairs of occurrences of different terms. Queries without terms find nothing.
+    A query's texts are taken from its rarest term; the others are looked up by text and term.
     """
     q = queries.select("qid", F.array_distinct("terms").alias("terms")).where(F.size("terms") > 0)
     asked = q.select("qid", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    found = asked.join(index, "term").groupBy("qid", "id", "n").agg(F.collect_list(F.struct("term", "positions")).alias("hits")).where(F.size("hits") == F.col("n"))
+    known = asked.join(index.groupBy("term").agg(F.count(F.lit(1)).alias("texts")), "term").groupBy("qid", "n").agg(F.count(F.lit(1)).alias("met"), F.min_by("term", F.struct("texts", "term")).alias("term")).where("met = n")
+    near = known.join(index.select("id", "term"), "term").select("qid", "id")
+    found = near.join(asked, "qid").join(index, ["id", "term"]).groupBy("qid", "id", "n").agg(F.collect_list(F.struct("term", "positions")).alias("hits")).where(F.size("hits") == F.col("n"))
     hits = F.array_sort("hits")
     alone = F.aggregate(F.sequence(F.lit(1), F.size(F.element_at("hits", 1)["positions"])), F.lit(0.0), lambda s, j: s + F.lit(0.1) / (j * j)) / F.lit(1.64493406685)
     pair = lambda a, b: F.aggregate(a["positions"], F.lit(1.0), lambda s, x: s * F.aggregate(b["positions"], F.lit(1.0), lambda t, y: t * (1.0 - F.sqrt(F.lit(0.01) * _nearness(F.abs(x - y).cast("double"))))))
@@ -163,3 +160,39 @@ def search(mode: str, dense: DataFrame | None, sparse: DataFrame | None, limit:
     if mode in ("dense", "sparse"):
         return (dense if mode == "dense" else sparse).where(F.col("rank") <= limit).select("qid", "id", "rank")
     raise ValueError(f"unknown retrieval mode: {mode}")
+
+
+def hybrid(queries: DataFrame, items: DataFrame, index: DataFrame, dense_k: int = 70, sparse_k: int = 30, top: int = 40, rrf_k: int = 60) -> DataFrame:
+    """(qid, id, rank_0, rank_1, rrf_score, rank): dense and sparse search of the same items, fused.
+
+    ``queries`` are (qid, v, text), ``items`` (id, v), ``index`` the postings of the items' texts. A
+    query without vector is searched by its words only, one without words by its vector only.
+    """
+    dense = dense_search(queries.select(F.col("qid").alias("id"), "v"), items, dense_k)
+    sparse = sparse_search(queries.where("text is not null").select("qid", T.tokens(F.col("text")).alias("terms")), index, sparse_k)
+    return fuse([dense, sparse], rrf_k, top)
+
+
+def at_least_or_unknown(hits: DataFrame, score: str, threshold: float | None) -> DataFrame:
+    """Hits whose score is unknown or at least the threshold; without one all of them."""
+    return hits if threshold is None else hits.where(F.col(score).isNull() | (F.col(score) >= threshold))
+
+
+def with_prefix(text: Column, instruction: str) -> Column:
+    """A query with the instruction its embedder wants; null becomes the empty text. Documents take none."""
+    return F.concat(F.lit(instruction), F.coalesce(text, F.lit("")))
+
+
+def embed(df: DataFrame, text: str, out: str, embedder, instruction: str = "") -> DataFrame:
+    """``df`` with the vectors a model gives for a text column.
+
+    ``embedder`` is a function from a list of texts to a list of vectors; it is called with a whole
+    Arrow batch. ``instruction`` stands before every text (for queries).
+    """
+
+    def run(batches):
+        for texts in batches:
+            yield pd.Series([[float(x) for x in v] for v in embedder(texts.tolist())])
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return df.withColumn(out, F.pandas_udf(run, "array<float>")(with_prefix(F.col(text), instruction)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import text as T
 from pageloom.operators import ablation, agent, chunking, clean, context, courses, evaluation, images, manifest, pages, retrieval, sessions
-from pageloom.session import table
+from pageloom.session import materialize, table
 from pageloom.sources import readers, sinks
 from pageloom.streaming import incremental
 
@@ -259,17 +259,24 @@ def vector_dimension(spark, d):
 
 
 _TITLES = f"(SELECT DISTINCT slide_title AS qid FROM {BLOCKS} WHERE slide_title IS NOT NULL)"
-_SPARSE = f"""
- ch AS MATERIALIZED (SELECT child_id, {TOKENS.format('content')} AS toks FROM {CHILDREN} WHERE content IS NOT NULL),
- post AS MATERIALIZED (SELECT child_id AS id, unnest(toks) AS term, unnest(range(1, len(toks) + 1)) AS pos FROM ch),
- q AS MATERIALIZED (SELECT qid, list_distinct({TOKENS.format('qid')}) AS terms FROM {_TITLES}),
- qt AS MATERIALIZED (SELECT qid, len(terms) AS n, unnest(terms) AS term FROM q WHERE len(terms) > 0),
- full_hits AS MATERIALIZED (SELECT qid, n, id FROM qt JOIN (SELECT DISTINCT id, term FROM post) USING (term) GROUP BY ALL HAVING count(*) = n),
- occ AS MATERIALIZED (SELECT f.qid, f.n, f.id, p.term, p.pos FROM full_hits f JOIN qt ON qt.qid = f.qid JOIN post p ON p.id = f.id AND p.term = qt.term),
- one AS (SELECT qid, id, sum(0.1 / (j * j)) / 1.64493406685 AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid, id ORDER BY pos) AS j FROM occ WHERE n = 1) GROUP BY ALL),
- many AS (SELECT a.qid, a.id, 1 - exp(sum(ln(1 - sqrt(0.01 * CASE WHEN abs(a.pos - b.pos) > 100 THEN 1e-30 ELSE 1.0 / (1.005 + 0.05 * exp(abs(a.pos - b.pos) / 1.5 - 2.0)) END)))) AS score
-   FROM occ a JOIN occ b ON a.qid = b.qid AND a.id = b.id AND a.term < b.term WHERE a.n > 1 GROUP BY ALL),
- sparse AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM (SELECT * FROM one UNION ALL SELECT * FROM many) QUALIFY rank <= 30)"""
+
+
+def _sparse_sql(queries: str, text: str = "qid", x: str = "", k: int = 30) -> str:
+    """CTEs up to ``sparse`` (qid, id, score, rank) of full-text search in all chunks; x stands before their names."""
+    return f"""
+ {x}ch AS MATERIALIZED (SELECT child_id, {TOKENS.format('content')} AS toks FROM {CHILDREN} WHERE content IS NOT NULL),
+ {x}post AS MATERIALIZED (SELECT child_id AS id, unnest(toks) AS term, unnest(range(1, len(toks) + 1)) AS pos FROM {x}ch),
+ {x}q AS MATERIALIZED (SELECT qid, list_distinct({TOKENS.format(text)}) AS terms FROM {queries}),
+ {x}qt AS MATERIALIZED (SELECT qid, len(terms) AS n, unnest(terms) AS term FROM {x}q WHERE len(terms) > 0),
+ {x}full_hits AS MATERIALIZED (SELECT qid, n, id FROM {x}qt JOIN (SELECT DISTINCT id, term FROM {x}post) USING (term) GROUP BY ALL HAVING count(*) = n),
+ {x}occ AS MATERIALIZED (SELECT f.qid, f.n, f.id, p.term, p.pos FROM {x}full_hits f JOIN {x}qt ON {x}qt.qid = f.qid JOIN {x}post p ON p.id = f.id AND p.term = {x}qt.term),
+ {x}one AS (SELECT qid, id, sum(0.1 / (j * j)) / 1.64493406685 AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid, id ORDER BY pos) AS j FROM {x}occ WHERE n = 1) GROUP BY ALL),
+ {x}many AS (SELECT a.qid, a.id, 1 - exp(sum(ln(1 - sqrt(0.01 * CASE WHEN abs(a.pos - b.pos) > 100 THEN 1e-30 ELSE 1.0 / (1.005 + 0.05 * exp(abs(a.pos - b.pos) / 1.5 - 2.0)) END)))) AS score
+   FROM {x}occ a JOIN {x}occ b ON a.qid = b.qid AND a.id = b.id AND a.term < b.term WHERE a.n > 1 GROUP BY ALL),
+ {x}sparse AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM (SELECT * FROM {x}one UNION ALL SELECT * FROM {x}many) QUALIFY rank <= {k})"""
+
+
+_SPARSE = _sparse_sql(_TITLES)
 
 
 def _sparse(spark, d, k=30):
@@ -329,16 +336,40 @@ def exclude_parents(spark, d):
     return _sparse(spark, d).join(c, "id").join(gone, "parent_id", "left_anti").select("qid", "id", F.col("rank").cast("bigint").alias("rank"))
 
 
-# candidates of a question: the children of its gold parents, in an order fixed by a hash
-_CANDIDATES = f"""cand AS (SELECT q.question_id, q.question, c.child_id, c.parent_id, c.chunk_index, c.source, c.source_file, c.content,
-   row_number() OVER (PARTITION BY q.question_id ORDER BY md5(q.question_id || c.child_id), c.child_id) AS rank
-   FROM (SELECT question_id, question, unnest(list_distinct(gold_parent_ids)) AS parent_id FROM {QUESTIONS}) q JOIN {CHILDREN} c USING (parent_id))"""
+# Candidates of a question: what hybrid search finds in all chunks. No model is installed, so the vector of a question is
+# the stored one of its first gold chunk; a question without one is searched by its words only.
+_VALID = "embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL)) = 0 AND list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda e: e * e)) > 0"
+_CANDIDATES = f"""h_items AS MATERIALIZED (SELECT child_id AS id, embedding AS v FROM {CHILDREN} WHERE {_VALID}),
+ h_dense AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM (SELECT q.question_id AS qid, i.id, {_COS.format('o.v', 'i.v')} AS score FROM {QUESTIONS} q JOIN h_items o ON o.id = q.gold_child_ids[1] CROSS JOIN h_items i) QUALIFY rank <= 70),
+ {_sparse_sql(f"(SELECT question_id AS qid, question FROM {QUESTIONS} WHERE question IS NOT NULL)", "question", "h_")},
+ h_every AS (SELECT qid, id, rank, 0 AS list FROM h_dense UNION ALL SELECT qid, id, rank, 1 FROM h_sparse),
+ h_fused AS (SELECT qid, id, sum(1.0 / (60 + rank)) AS rrf_score, min(list) AS first_list, arg_min(rank, list) AS first_rank FROM h_every GROUP BY ALL),
+ h_top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rrf_score, 12) DESC, first_list, first_rank, id) AS rank FROM h_fused QUALIFY rank <= 40),
+ cand AS (SELECT q.question_id, q.question, c.child_id, c.parent_id, c.chunk_index, c.source, c.source_file, c.content, t.rrf_score, t.rank
+   FROM h_top t JOIN {QUESTIONS} q ON q.question_id = t.qid JOIN {CHILDREN} c ON c.child_id = t.id)"""
+_SEARCHED: dict[tuple[str, str], DataFrame] = {}
 
 
 def _candidates(spark, d):
-    q = _questions(spark, d).select("question_id", "question", F.explode(F.array_distinct("gold_parent_ids")).alias("parent_id"))
-    c = _children(spark, d).select("child_id", "parent_id", "chunk_index", "source", "source_file", "content")
-    return retrieval.top_k(q.join(c, "parent_id"), 2**31 - 1, ["question_id"], [F.md5(F.concat("question_id", "child_id")), "child_id"])
+    """The hits of all questions, searched once for all queries of a session that start from them."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _SEARCHED:
+        c = _children(spark, d)
+        whole = F.col("embedding").isNotNull() & (F.size("embedding") == 64) & ~F.exists("embedding", lambda x: x.isNull()) & (F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")) > 0)
+        items = c.where(whole).select(F.col("child_id").alias("id"), F.col("embedding").alias("v"))
+        q = _questions(spark, d).select("question_id", "question", F.get("gold_child_ids", F.lit(0)).alias("id"))
+        index = retrieval.postings(c.where("content is not null"), "child_id", "content")
+        top = retrieval.hybrid(q.join(items, "id", "left").select(F.col("question_id").alias("qid"), "v", F.col("question").alias("text")), items, index)
+        top = top.select(F.col("qid").alias("question_id"), F.col("id").alias("child_id"), "rrf_score", "rank")
+        full = top.join(q.drop("id"), "question_id").join(c.select("child_id", "parent_id", "chunk_index", "source", "source_file", "content"), "child_id")
+        _SEARCHED[key] = materialize(full, "searched")
+    return _SEARCHED[key]
+
+
+@query(f"WITH {_CANDIDATES} SELECT question_id, child_id, round(rrf_score, 9) AS rrf_score, rank FROM cand")
+def hybrid_search(spark, d):
+    """Dense and sparse search of the same chunks for every question, fused."""
+    return _candidates(spark, d).select("question_id", "child_id", F.round("rrf_score", 9).alias("rrf_score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 _OVERLAP = f"(CASE WHEN len(list_distinct({TOKENS.format('question')})) > 0 THEN len(list_intersect(list_distinct({TOKENS.format('question')}), list_distinct({TOKENS.format('content')}))) / len(list_distinct({TOKENS.format('question')})) ELSE 0.0 END)"
@@ -396,23 +427,90 @@ def neighbor_window(spark, d):
 
 
 @query(f"""
-WITH {_CANDIDATES}, h AS (SELECT question_id, parent_id, arg_max(1.0 / rank, rank) AS score, arg_min(content, rank) AS child_content, min(rank) AS first_rank FROM cand WHERE rank <= 10 GROUP BY ALL),
- stored AS (SELECT parent_id, page_content FROM {PARENTS} WHERE length(page_content) % 2 = 0),
+WITH {_CANDIDATES}, h AS (SELECT question_id, parent_id, arg_max(rrf_score, rank) AS score, arg_max(coalesce(content, ''), rank) AS last_content, min(rank) AS met FROM cand WHERE rank <= 10 GROUP BY ALL),
+ gone AS (SELECT DISTINCT parent_id FROM {CHILDREN} GROUP BY parent_id HAVING min(source_file) IS NULL), stored AS (SELECT parent_id, page_content FROM {PARENTS} WHERE metadata IS NOT NULL),
  j AS (SELECT h.*, s.page_content, s.parent_id IS NOT NULL AS ok, coalesce(TRY_CAST(regexp_extract(h.parent_id, '_parent_(\\d+)$', 1) AS INT), 0) AS o, coalesce(TRY_CAST(regexp_extract(h.parent_id, '_page_(\\d+)_parent_', 1) AS INT), 0) AS p FROM h LEFT JOIN stored s USING (parent_id))
-SELECT question_id, parent_id, md5(coalesce(page_content, child_content)) AS content_hash, CASE WHEN ok THEN 'parent' ELSE 'child' END AS context_type, round(score, 6) AS score,
- row_number() OVER (PARTITION BY question_id ORDER BY ok DESC, CASE WHEN ok THEN o END NULLS FIRST, CASE WHEN ok THEN p END NULLS FIRST, CASE WHEN ok THEN parent_id END NULLS FIRST, first_rank) AS ctx_pos FROM j""")
+SELECT question_id, parent_id, md5(CASE WHEN ok THEN coalesce({STRIP.format('page_content')}, '') ELSE last_content END) AS content_hash, CASE WHEN ok THEN 'parent' ELSE 'child' END AS context_type, round(score, 9) AS score,
+ row_number() OVER (PARTITION BY question_id ORDER BY ok DESC, CASE WHEN ok THEN o ELSE met END, CASE WHEN ok THEN p ELSE 0 END, CASE WHEN ok THEN parent_id ELSE '' END) AS ctx_pos FROM j""".replace(f" gone AS (SELECT DISTINCT parent_id FROM {CHILDREN} GROUP BY parent_id HAVING min(source_file) IS NULL),", ""))
 def parent_fallback(spark, d):
-    """Parents of the first ten candidates; every other parent, by the parity of its length, counts as lost."""
-    hits = _candidates(spark, d).where("rank <= 10").select(F.col("question_id").alias("qid"), "rank", "parent_id", "content", (1.0 / F.col("rank")).alias("score"))
-    out = context.parents(hits, _parents(spark, d).where("length(page_content) % 2 = 0"))
-    return out.select(F.col("qid").alias("question_id"), "parent_id", F.md5("content").alias("content_hash"), "context_type", F.round("score", 6).alias("score"), F.col("ctx_pos").cast("bigint").alias("ctx_pos"))
+    """Parents of the first ten hits; those whose metadata was lost count as not stored and fall back to their last hit."""
+    hits = _candidates(spark, d).where("rank <= 10").select(F.col("question_id").alias("qid"), "rank", "parent_id", "child_id", "chunk_index", "source", F.coalesce("content", F.lit("")).alias("content"), F.col("rrf_score").alias("score"))
+    out = context.parents(hits, _stored(spark, d).where("metadata is not null"))
+    from pyspark.sql import Window
 
+    out = out.withColumn("ctx_pos", F.row_number().over(Window.partitionBy("qid").orderBy("place")).cast("bigint"))
+    return out.select(F.col("qid").alias("question_id"), "parent_id", F.md5("content").alias("content_hash"), "context_type", F.round("score", 9).alias("score"), "ctx_pos")
 
-@query()
+
+def _stored(spark, d):
+    return _parents(spark, d).select("parent_id", "page_content", F.get_json_object("metadata", "$.source").alias("source"), "metadata")
+
+
+# Parents asked for besides (of questions tagged with two gold parents the second) and those excluded (every gold parent of a question without gold chunks).
+_KEEP = f"(SELECT question_id AS qid, gold_parent_ids[2] AS parent_id, 0 AS pos FROM {QUESTIONS} WHERE len(gold_parent_ids) > 1 AND gold_parent_ids[2] IS NOT NULL)"
+_EXCLUDE = f"(SELECT DISTINCT question_id AS qid, unnest(gold_parent_ids) AS parent_id FROM {QUESTIONS} WHERE coalesce(len(gold_child_ids), 0) = 0)"
+
+
+def _researched(spark, d):
+    q = _questions(spark, d)
+    keep = q.select(F.col("question_id").alias("qid"), F.get("gold_parent_ids", F.lit(1)).alias("parent_id"), F.lit(0).alias("pos")).where("parent_id is not null")
+    exclude = q.where(F.coalesce(F.size("gold_child_ids"), F.lit(0)) <= 0).select(F.col("question_id").alias("qid"), F.explode("gold_parent_ids").alias("parent_id"))
+    asked = q.select(F.col("question_id").alias("qid"), F.col("question").alias("query"), F.col("question_type").alias("focus"))
+    return context.research(asked, _candidates(spark, d).withColumnRenamed("question_id", "qid").drop("question"), _stored(spark, d), _children(spark, d), retrieval.overlap_score, keep, exclude)
+
+
+_EFFECTIVE = "CASE WHEN coalesce(question_type, '') <> '' THEN question || chr(10) || 'Focus: ' || question_type ELSE question END"
+_RESEARCH = f"""{_CANDIDATES}, e AS (SELECT question_id AS qid, {_EFFECTIVE} AS question FROM {QUESTIONS}),
+ keep AS {_KEEP}, exclude AS {_EXCLUDE},
+ rem AS (SELECT c.*, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS r FROM cand c WHERE NOT EXISTS (SELECT 1 FROM exclude x WHERE x.qid = c.question_id AND x.parent_id = c.parent_id)),
+ sc AS (SELECT rem.question_id AS qid, r, child_id, parent_id, chunk_index, source, content, rrf_score, CASE WHEN content IS NULL THEN NULL ELSE {_OVERLAP.replace('question', 'e.question')} END AS rerank_score FROM rem JOIN e ON e.qid = rem.question_id WHERE r <= 40),
+ hits AS MATERIALIZED (SELECT *, coalesce(nullif(rerank_score, 0), rrf_score) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(rerank_score, 9) DESC, r) AS rank FROM sc WHERE rerank_score >= 0.3 QUALIFY rank <= 3),
+ mh AS (SELECT qid, max(n) AS most FROM (SELECT qid, parent_id, count(*) AS n FROM hits GROUP BY ALL) GROUP BY ALL),
+ pol AS (SELECT e.qid, CASE WHEN k.qid IS NOT NULL OR {{broad}} OR coalesce(most, 0) >= 2 THEN 'parent' WHEN {{fact}} THEN 'child' ELSE 'neighbor' END AS policy,
+   CASE WHEN k.qid IS NOT NULL THEN 'keep_parent_ids_requested' WHEN {{broad}} THEN 'query_requires_broad_context' WHEN coalesce(most, 0) >= 2 THEN 'multiple_child_hits_same_parent' WHEN {{fact}} THEN 'fact_query' ELSE 'default_neighbor_context' END AS reason
+   FROM e LEFT JOIN mh USING (qid) LEFT JOIN (SELECT DISTINCT qid FROM keep) k ON k.qid = e.qid),
+ c_child AS (SELECT h.qid, parent_id, child_id, source, coalesce(content, '') AS content, 'child' AS context_type, score, 0 AS a, rank AS b, 0 AS c, '' AS d FROM hits h JOIN pol USING (qid) WHERE policy = 'child'),
+ nb AS (SELECT h.qid, n.child_id, n.parent_id, n.chunk_index, n.source, n.content, min(h.rank) AS b FROM hits h JOIN pol USING (qid) JOIN {CHILDREN} n ON n.parent_id = h.parent_id AND n.chunk_index BETWEEN h.chunk_index - 1 AND h.chunk_index + 1 WHERE policy = 'neighbor' GROUP BY ALL),
+ c_near AS (SELECT nb.qid, nb.parent_id, nb.child_id, nb.source, {STRIP.format("coalesce(nb.content, '')")} AS content, 'neighbor_child' AS context_type, coalesce(o.score, bp.score) AS score, 0 AS a, nb.b, nb.chunk_index AS c, '' AS d
+   FROM nb LEFT JOIN hits o ON o.qid = nb.qid AND o.child_id = nb.child_id LEFT JOIN (SELECT qid, parent_id, max(score) AS score FROM hits GROUP BY ALL) bp ON bp.qid = nb.qid AND bp.parent_id = nb.parent_id),
+ c_rest AS (SELECT h.qid, parent_id, child_id, source, coalesce(content, '') AS content, 'child' AS context_type, score, 1 AS a, rank AS b, 0 AS c, '' AS d FROM hits h JOIN pol USING (qid) WHERE policy = 'neighbor' AND NOT EXISTS (SELECT 1 FROM nb WHERE nb.qid = h.qid AND nb.child_id = h.child_id)),
+ ids AS (SELECT qid, parent_id, min(met_at) AS met_at FROM (SELECT qid, parent_id, pos - 1073741824 AS met_at FROM keep UNION ALL SELECT qid, parent_id, rank FROM hits WHERE coalesce(parent_id, '') <> '') GROUP BY ALL),
+ lasts AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY qid, parent_id ORDER BY rank DESC) = 1),
+ pj AS (SELECT i.qid, i.parent_id, i.met_at, p.parent_id IS NOT NULL AS ok, l.child_id, l.source AS l_source, l.content AS l_content, l.score, coalesce(json_extract_string(p.metadata, '$.source'), 'unknown') AS p_source, coalesce({STRIP.format('p.page_content')}, '') AS p_content
+   FROM ids i JOIN pol ON pol.qid = i.qid AND policy = 'parent' LEFT JOIN lasts l ON l.qid = i.qid AND l.parent_id = i.parent_id LEFT JOIN {PARENTS} p ON p.parent_id = i.parent_id WHERE p.parent_id IS NOT NULL OR l.qid IS NOT NULL),
+ c_parent AS (SELECT qid, parent_id, CASE WHEN NOT ok THEN child_id END AS child_id, CASE WHEN ok THEN p_source ELSE l_source END AS source, CASE WHEN ok THEN p_content ELSE l_content END AS content, CASE WHEN ok THEN 'parent' ELSE 'child' END AS context_type, score, CASE WHEN ok THEN 0 ELSE 1 END AS a,
+   CASE WHEN ok THEN coalesce(TRY_CAST(regexp_extract(parent_id, '_parent_(\\d+)$', 1) AS INT), 0) ELSE met_at END AS b, CASE WHEN ok THEN coalesce(TRY_CAST(regexp_extract(parent_id, '_page_(\\d+)_parent_', 1) AS INT), 0) ELSE 0 END AS c, CASE WHEN ok THEN parent_id ELSE '' END AS d FROM pj),
+ ctx AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY a, b, c, d) AS ctx_pos FROM (SELECT * FROM c_child UNION ALL SELECT * FROM c_near UNION ALL SELECT * FROM c_rest UNION ALL SELECT * FROM c_parent))"""
+_RESEARCH = _RESEARCH.replace("{broad}", _any(context.BROAD)).replace("{fact}", _any(context.FACT))
+
+
+@query(f"WITH {_RESEARCH} SELECT qid, ctx_pos, parent_id, child_id, source, context_type, md5(content) AS content_hash, round(score, 9) AS score FROM ctx")
+def research_contexts(spark, d):
+    """The contexts of research for every question: hybrid search, excluded and kept parents, reranking, policy."""
+    _, contexts = _researched(spark, d)
+    return contexts.select("qid", F.col("ctx_pos").cast("bigint").alias("ctx_pos"), "parent_id", "child_id", "source", "context_type", F.md5("content").alias("content_hash"), F.round("score", 9).alias("score"))
+
+
+@query(f"""
+WITH {_RESEARCH}, n AS (SELECT qid, count(*) AS n, sum(length(content)) AS chars, string_agg(DISTINCT nullif(source, ''), '|' ORDER BY nullif(source, '')) AS sources FROM ctx GROUP BY ALL),
+ ip AS (SELECT qid, string_agg(parent_id, '|' ORDER BY met_at, parent_id) AS parents FROM ids GROUP BY ALL), hs AS (SELECT qid, count(*) AS reranked, max(rerank_score) AS best FROM hits GROUP BY ALL),
+ cc AS (SELECT question_id AS qid, count(*) AS candidates FROM cand GROUP BY ALL), rc AS (SELECT question_id AS qid, count(*) AS remaining FROM rem GROUP BY ALL)
+SELECT pol.qid, policy, reason, coalesce(n, 0) AS n_contexts, coalesce(chars, 0) AS chars, coalesce(sources, '') AS sources, coalesce(parents, '') AS parents, coalesce(candidates, 0) AS candidates, coalesce(reranked, 0) AS reranked, round(best, 9) AS best,
+ CASE WHEN coalesce(n, 0) > 0 THEN '' ELSE 'No relevant document context was retrieved.' END AS gaps, CASE WHEN coalesce(n, 0) > 0 THEN 'sufficient' WHEN coalesce(remaining, 0) > 0 THEN 'low_score' ELSE 'insufficient' END AS status
+FROM pol LEFT JOIN n USING (qid) LEFT JOIN ip USING (qid) LEFT JOIN hs USING (qid) LEFT JOIN cc USING (qid) LEFT JOIN rc USING (qid)""")
 def research(spark, d):
-    q = _questions(spark, d).select(F.col("question_id").alias("qid"), F.col("question").alias("query"))
-    c = _candidates(spark, d).where("rank <= 3").select(F.col("question_id").alias("qid"), "rank", "child_id", "parent_id", "chunk_index", "source_file", "content", (1.0 / F.col("rank")).alias("score"))
-    return context.research(q.join(c, "qid", "left"), _parents(spark, d), _children(spark, d).select("child_id", "parent_id", "chunk_index", "source_file", "content"))
+    """The result of research for every question, with its diagnostics as columns; research_json packs the same."""
+    r, _ = _researched(spark, d)
+    x = F.col("diagnostics")
+    return r.select(
+        "qid", x["context_policy"].alias("policy"), x["context_policy_reason"].alias("reason"), x["contexts"].alias("n_contexts"), x["returned_context_chars"].alias("chars"), F.array_join("sources", "|").alias("sources"), F.array_join("parent_ids", "|").alias("parents"),
+        x["child_candidates"].alias("candidates"), x["reranked_contexts"].alias("reranked"), F.round(x["best_rerank_score"], 9).alias("best"), F.array_join("gaps", "|").alias("gaps"), x["evidence_status"].alias("status"),
+    )
+
+
+@query()
+def research_json(spark, d):
+    return context.research_json(_researched(spark, d)[0])
 
 
 @query(f"""WITH {_CANDIDATES} SELECT q.question_id AS qid, md5(coalesce(string_agg('Parent ID: ' || coalesce(parent_id, '') || chr(10) || 'File Name: ' || coalesce(source, '') || chr(10) || 'Content: ' || {STRIP.format("coalesce(content, '')")}, chr(10) || chr(10) ORDER BY rank) FILTER (WHERE rank IS NOT NULL), 'NO_RELEVANT_CHUNKS')) AS h

@@ -97,3 +97,25 @@ def test_late_rows_and_expiry(spark, tmp_path):
     assert got == [("t1", "done")]
     old = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("b", "2024-01-01 00:09:00")], "id string, updated_at string").withColumn("updated_at", F.to_timestamp("updated_at"))
     assert [r.id for r in agent.expired(old, F.to_timestamp(F.lit("2024-01-01 00:10:01"))).collect()] == ["a"]
+
+
+def test_reasons_deletes_and_selected_pages(spark):
+    from pageloom.operators import manifest
+
+    incoming = spark.createDataFrame([("new", "h"), ("old", "h")], "source_file string, raw_file_hash string")
+    m = spark.createDataFrame([("old", "h", "success", "c1", True)], "source_file string, raw_file_hash string, status string, config_hash string, markdown_exists boolean")
+    reasons = lambda table, h: {r.source_file: r.reason for r in manifest.skip_reasons(incoming, table, h).collect()}
+    assert reasons(m, "c1") == {"new": "new_document", "old": "unchanged_file"}
+    assert reasons(m, "c2") == {"new": "index_config_changed", "old": "index_config_changed"} and set(reasons(m.limit(0), "c2").values()) == {"new_document"}
+    tables = {
+        "chunks": spark.createDataFrame([("d1", "a.md", None), ("d2", "b.md", "a.md"), ("d3", "c.md", None), (None, None, None)], "doc_id string, source_file string, source string"),
+        "parents": spark.createDataFrame([("p1",), ("p2",)], "parent_id string"),
+        "other": spark.createDataFrame([(1,)], "x int"),
+    }
+    left, report = manifest.delete_document(tables, "d1", ["a.md"], ["p1"])
+    r = {x.artifact: x for x in report.collect()}
+    assert left["chunks"].count() == 2 and r["chunks"].deleted == 2 and left["parents"].count() == 1 and r["other"].error and left["other"].count() == 1
+    pages = spark.createDataFrame([("a", 1), ("a", 2), ("a", None), ("b", 2)], "f string, page_number int")
+    chosen = spark.createDataFrame([("a", 1)], "f string, page_number int")
+    assert manifest.selected_pages(pages, chosen, "f").count() == 2
+    assert manifest.config_hash({"b": 1, "a": [2]}) == manifest.config_hash({"a": [2], "b": 1}) != manifest.config_hash({"a": [1], "b": 1})

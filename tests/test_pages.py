@@ -107,3 +107,28 @@ def test_scalars(spark):
     assert [r.x for r in df.select(T.json_object(F.col("c"), "a").alias("x")).collect()] == ["1", "2", None]
     df = spark.createDataFrame([("第 3 页", 3), ("3 / 9", 3), ("-- 3 --", 3), ("p. 3", 3), ("3 of 7", 3), ("4", 3), ("page 3", None)], "line string, page int")
     assert [r.x for r in df.select(T.is_page_number(F.col("line"), F.col("page")).alias("x")).collect()] == [True] * 5 + [False, False]
+
+
+def test_cleaner_numbers_between_headings_blocks_and_kept_lines(spark):
+    from pageloom.operators import clean
+
+    block = "**----- Start of picture text -----**<br>Figure 3<br>**----- End of picture text -----**<br>"
+    analysis = "<!-- image-analysis:start\nOCR: x\nRAG_SUMMARY: short\nNOTE: goes on in the summary\nKEY_TERMS: a, b\nimage-analysis:end -->"
+    bad = "<!-- image-analysis:start\nRAG_SUMMARY: only this\nimage-analysis:end -->"
+    pages = [("f", f"p{n}", n, f"- shared bullet\n  running line  \n# Title {n}\nbody {n}") for n in (1, 2, 3)]
+    pages += [("f", "p4", 4, "# Same\n4\n# Same\n# Same\n" + block + "\n" + analysis + "\n" + bad)]
+    out, events = clean.clean(spark.createDataFrame(pages, "file string, page string, page_number int, raw_text string"), "file", "page")
+    text = {r.page: r.cleaned_text for r in out.collect()}
+    assert text["p4"].count("# Same") == 2 and "goes on" in text["p4"] and "only this" not in text["p4"] and "Figure" not in text["p4"]
+    assert text["p1"] == "- shared bullet\n# Title 1\nbody 1"
+    e = {(r.page, r.action, r.reason, r.text) for r in events.collect()}
+    assert ("p1", "removed", "repeated_header_footer", "running line") in e and ("p1", "kept", "repeated_edge_line_but_protected", "- shared bullet") in e
+    assert ("p4", "removed", "page_number", "4") in e and ("p4", "removed", "duplicate_heading", "# Same") in e
+    assert ("p4", "removed", "low_value_picture_text", "Figure 3") in e and ("p4", "removed", "incomplete_image_analysis", "RAG_SUMMARY: only this") in e
+
+
+def test_document_of_blank_feeds_is_one_empty_page(spark):
+    from pageloom.operators import pages
+
+    got = pages.split_pages(spark.createDataFrame([("a", "\f \f\n"), ("b", "x\f\fy")], "d string, t string"), "d", "t").orderBy("d", "page_pos").collect()
+    assert [(r.d, r.page_number, r.raw_text) for r in got] == [("a", None, ""), ("b", 1, "x"), ("b", 3, "y")]

@@ -56,11 +56,59 @@ def test_scope_and_research(spark):
     hits = spark.createDataFrame([("q", "a.md", "a.md"), ("q", None, "b.md"), ("q", "c.md", None)], "qid string, source string, source_file string")
     scope = spark.createDataFrame([("a.md",), ("c.md",)], "name string")
     assert retrieval.in_scope(hits, scope).count() == 2 and retrieval.in_scope(hits, scope.limit(0)).count() == 3
-    h = spark.createDataFrame([("q1", "hello", 1, "p1_child_0", "p1", 0, "f.md", "text", 0.9), ("q2", "lost", None, None, None, None, None, None, None)], "qid string, query string, rank int, child_id string, parent_id string, chunk_index int, source_file string, content string, score double")
-    children = spark.createDataFrame([("p1_child_0", "p1", 0, "f.md", "text"), ("p1_child_1", "p1", 1, "f.md", "next")], "child_id string, parent_id string, chunk_index int, source_file string, content string")
-    parents = spark.createDataFrame([("p1", "all")], "parent_id string, page_content string")
-    got = {r.qid: json.loads(r.result) for r in context.research(h, parents, children).collect()}
-    assert [c["content"] for c in got["q1"]["contexts"]] == ["text", "next"] and got["q2"]["gaps"] == ["NO_RELEVANT_CHUNKS"]
+
+
+def researched(spark, queries, found, keep=None, exclude=None, **kw):
+    q = spark.createDataFrame(queries, "qid string, query string, focus string")
+    h = spark.createDataFrame(found, "qid string, rank int, child_id string, parent_id string, chunk_index int, source string, content string, rrf_score double")
+    children = spark.createDataFrame([(f"p{p}_child_{i}", f"p{p}", i, "f.md", f" text {p} {i} ") for p in (1, 2) for i in (0, 1, 998, 999, 1000)], "child_id string, parent_id string, chunk_index int, source string, content string")
+    parents = spark.createDataFrame([("p1", " whole one ", "f.md"), ("p2", "whole two", None)], "parent_id string, page_content string, source string")
+    pairs = lambda rows: spark.createDataFrame(rows, "qid string, parent_id string, pos int") if rows else None
+    results, contexts = context.research(q, h, parents, children, retrieval.overlap_score, pairs(keep), pairs(exclude), **kw)
+    out = {}
+    for r in contexts.orderBy("qid", "ctx_pos").collect():
+        out.setdefault(r.qid, []).append(r)
+    return {r.qid: r for r in results.collect()}, out, {r.qid: json.loads(r.result) for r in context.research_json(results).collect()}
+
+
+def test_research_neighbours_fallbacks_and_gaps(spark):
+    found = [
+        ("near", 1, "p1_child_999", "p1", 999, "f.md", "alpha text", 0.5),
+        ("near", 2, "p9_child_x", "p9", None, "g.md", "alpha only itself", 0.4),
+        ("low", 1, "p1_child_0", "p1", 0, "f.md", "nothing alike", 0.5),
+        ("why lost", 1, "a", "p7", 0, "g.md", "alpha FIRST", 0.5),
+        ("why lost", 2, "b", "p7", 1, "g.md", "alpha LAST", 0.4),
+        ("why lost", 3, "p2_child_0", "p2", 0, "f.md", "alpha two", 0.3),
+    ]
+    queries = [("near", "alpha", None), ("low", "alpha", ""), ("none", "alpha", None), ("why lost", "why alpha", None)]
+    r, c, j = researched(spark, queries, found)
+    # neighbours in the order of the text over the thousand, then a hit without index as itself
+    assert [x.child_id for x in c["near"]] == ["p1_child_998", "p1_child_999", "p1_child_1000", "p9_child_x"]
+    assert [x.context_type for x in c["near"]] == ["neighbor_child"] * 3 + ["child"] and c["near"][0].content == "text 1 998"
+    assert r["near"].diagnostics.evidence_status == "sufficient" and r["near"].diagnostics.context_policy == "neighbor"
+    assert r["low"].diagnostics.evidence_status == "low_score" and r["none"].diagnostics.evidence_status == "insufficient"
+    assert r["none"].gaps == ["No relevant document context was retrieved."] and j["none"]["contexts"] == [] and j["near"]["sources"] == ["f.md", "g.md"]
+    # stored parents first; one that isn't stored falls back to its last hit, content and score from the same
+    assert [(x.parent_id, x.context_type, x.content) for x in c["why lost"]] == [("p2", "parent", "whole two"), ("p7", "child", "alpha LAST")]
+    assert c["why lost"][1].score == 0.5 and c["why lost"][0].source == "unknown" and r["why lost"].parent_ids == ["p7", "p2"]
+
+
+def test_research_keeps_and_excludes(spark):
+    found = [("k", 1, "p2_child_0", "p2", 0, "f.md", "alpha", 0.5), ("x", 1, "p1_child_0", "p1", 0, "f.md", "alpha", 0.5), ("x", 2, "p2_child_0", "p2", 0, "f.md", "alpha", 0.4)]
+    r, c, _ = researched(spark, [("k", "alpha", None), ("x", "alpha", "who")], found, keep=[("k", "p1", 0), ("k", "p8", 1)], exclude=[("x", "p1", 0)])
+    assert r["k"].parent_ids == ["p1", "p8", "p2"] and [x.parent_id for x in c["k"]] == ["p1", "p2"] and c["k"][0].score is None
+    assert r["k"].diagnostics.context_policy_reason == "keep_parent_ids_requested"
+    assert [x.child_id for x in c["x"]] == ["p2_child_0"] and r["x"].diagnostics.child_candidates == 2 and r["x"].focus == "who"
+    r, c, _ = researched(spark, [("k", "alpha", None)], found, configured="child", threshold=None)
+    assert c["k"][0].context_type == "child" and r["k"].diagnostics.context_policy_reason == "configured_policy"
+
+
+def test_hooks_and_thresholds(spark):
+    hits = spark.createDataFrame([(1, None), (2, 0.5), (3, 0.1)], "id int, score double")
+    assert {x.id for x in retrieval.at_least_or_unknown(hits, "score", 0.3).collect()} == {1, 2} and retrieval.at_least_or_unknown(hits, "score", None).count() == 3
+    q = spark.createDataFrame([("ab",), (None,)], "t string")
+    got = retrieval.embed(q, "t", "v", lambda texts: [[len(x), 1.0] for x in texts], "query: ").collect()
+    assert [x.v for x in got] == [[9.0, 1.0], [7.0, 1.0]]
 
 
 def test_metrics(spark):
