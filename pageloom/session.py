@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -30,14 +32,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether all tasks run in the driver's own machine and process."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for written intermediate tables: the one the session names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder is made and set.
+    Only on a local master (tests, a laptop) a temporary folder is made where that setting is absent.
+    On a cluster it would lie on one machine only, so there its absence is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="pageloom-"))
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="pageloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir("file://" + folder)
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
 
@@ -45,24 +57,53 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table into the shared folder and read it back: the lineage ends there.
 
-    The files outlive any executor, so a lost executor costs only the tasks it was running.
+    The files outlive any executor, so a lost executor costs only the tasks it was running. They are
+    deleted when the driver's process ends, or before that by ``release``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pageloom-{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    written = _written(spark)
+    written.append(path)
     return spark.read.parquet(path)
 
 
+def _written(spark: SparkSession) -> list[str]:
+    context = spark.sparkContext
+    if not hasattr(context, "_pageloom_written"):
+        context._pageloom_written = []
+        stop = context.stop
+
+        def clean_and_stop() -> None:
+            release(spark)
+            stop()
+
+        context.stop = clean_and_stop
+    return context._pageloom_written
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables written so far; results that still read them must be done."""
+    context = spark.sparkContext
+    paths = list(getattr(context, "_pageloom_written", []))
+    if paths:
+        context._pageloom_written.clear()
+    for path in paths:
+        try:
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # noqa: BLE001 - what can't be deleted now is the folder's owner's to clear
+            continue
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, wherever the driver was started; once for each context.
 
-    The archive lies in the shared folder where that is a mounted one.
+    The archive lies in the shared folder where that is a mounted one; Spark copies it to every worker.
     """
     context = spark.sparkContext
     if getattr(context, "_pageloom_shipped", False):
         return
-    import shutil
-
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shared = shared_dir(spark)
     folder = f"/{shared.removeprefix('file:').lstrip('/')}/pageloom-code-{uuid.uuid4().hex}" if shared.startswith("file:") else tempfile.mkdtemp(prefix="pageloom-code-")
