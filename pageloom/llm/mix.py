@@ -67,14 +67,15 @@ def _bucket(key: str, seed: int):
     return F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(BUCKETS)).cast("int")
 
 
-def _count_of(u, rate, cap, most: int):
-    """Inverse Poisson as a column expression: how many of the cumulated probabilities lie at or below u."""
-    term, below, count = F.exp(-rate), F.exp(-rate), F.lit(0)
-    for k in range(most):
-        count = count + F.when((F.lit(k) < cap) & (u >= below), 1).otherwise(0)
-        term = term * rate / F.lit(float(k + 1))
-        below = below + term
-    return F.when(rate == F.lit(float("inf")), cap).otherwise(count)
+def steps(rate: float, cap: int) -> list[float]:
+    """The cumulated probabilities of 0, 1, ... below ``cap``: a document's count is how many of them lie at or below u."""
+    if rate == math.inf:
+        return [0.0] * cap
+    out, term = [], math.exp(-rate)
+    for k in range(cap):
+        out.append((out[-1] if out else 0.0) + term)
+        term *= rate / (k + 1)
+    return out
 
 
 def mix(docs: DataFrame, targets: DataFrame, key: str, source: str, size: str, seed: int = 20) -> DataFrame:
@@ -95,14 +96,11 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, source: str, size: str, s
     weights["size"] = weights["size"].astype(float)
     rates = plan(weights, wanted.toPandas())
     spark = docs.sparkSession
-    schema = "mix_name string, source string, share double, cap int, target_size double, rate double"
-    if not len(rates):
-        rates_df = spark.createDataFrame([], schema)
-    else:
-        rates_df = spark.createDataFrame(rates, schema)
-    most = int(rates["cap"].max()) if len(rates) else 0
+    # a row for each mix and source with the places of u where the count goes up, as many as max_repeats
+    found = [(r.mix_name, r.source, steps(r.rate, r.cap)) for r in rates.itertuples()]
+    rates_df = spark.createDataFrame(found, "mix_name string, source string, steps array<double>")
     u = (F.col("bucket") + F.lit(0.5)) / F.lit(float(BUCKETS))
-    counted = use.join(F.broadcast(rates_df), "source").withColumn("uses", _count_of(u, F.col("rate"), F.col("cap"), most))
+    counted = use.join(F.broadcast(rates_df), "source").withColumn("uses", F.size(F.filter("steps", lambda x: x <= u)))
     copies = counted.where("uses > 0").select("mix_name", "__key", "source", F.explode(F.sequence(F.lit(1), F.col("uses"))).alias("copy"), "size")
     placed = copies.withColumn("place", F.xxhash64(F.lit(seed + 1), "mix_name", F.col("__key").cast("string"), "copy"))
     return placed.orderBy("mix_name", "place", "__key", "copy").withColumnRenamed("__key", key)

@@ -40,7 +40,7 @@ def _trim(c: Column) -> Column:
 def fold(line: Column) -> Column:
     """A key under which a line equals its misread versions: numbers are #, look-alike letters are one."""
     c = _trim(line)
-    c = F.regexp_replace(c, r"(?<![\p{IsLatin}\p{N}])(?:[0-9lIOSB|!] )+[0-9lIOSB|!](?![\p{IsLatin}\p{N}])", "#")
+    c = F.regexp_replace(c, r"(?<![\p{IsLatin}\p{N}])(?:[0-9lIOSB|!] )+[0-9lIOSB|!](?![\p{IsLatin}\p{N}!|†])", "#")
     c = F.regexp_replace(c, rf"(?<![\p{{IsLatin}}\p{{N}}!|])(?=[{_DIGIT}]*[0-9])[{_DIGIT}]+(?![\p{{IsLatin}}\p{{N}}†!|])", "#")
     c = F.translate(F.lower(c), "1!|lr056†9cß", "iiiiiosbtgeb")
     for long, short in (("h", "ii"), ("u", "ii"), ("m", "in"), ("d", "ei"), ("w", "vv")):
@@ -110,9 +110,9 @@ def layout(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     lines stand between it and the edge of the page.
     """
     pages = blocks.groupBy("source_file").agg(F.count(F.lit(1)).alias("pages"))
-    edge = lines.where(((F.col("top") < EDGE) | (F.col("bottom") < EDGE)) & F.col("kind").isin("text", "list") & (F.length("line") <= 200)).withColumn("key", fold(F.col("line")))
+    edge = lines.where(((F.col("top") < EDGE) | (F.col("bottom") < EDGE)) & F.col("kind").isin("text", "list")).withColumn("key", fold(F.col("line")))
     is_roman = F.lower(_trim("line")).rlike(r"^[-–—~·\[( ]*[ivxlc1!]+[-–—~·\]) ]*$") & F.lower("line").rlike("[ivxlc]") & ~F.col("line").rlike(r"[IL]\p{Ll}")
-    romans = F.broadcast(lines.sparkSession.createDataFrame([(_roman(k), k) for k in range(1, 1000)], "roman string, roman_value int"))
+    romans = F.broadcast(lines.sparkSession.createDataFrame([(_roman(k), k) for k in range(1, 4000)], "roman string, roman_value int"))
     edge = edge.withColumn("roman", F.when(is_roman, F.translate(F.lower(F.regexp_replace("line", r"[^\p{L}1!]", "")), "1!", "ii")))
     edge = materialize(edge.join(romans, "roman", "left").select("block_id", "source_file", "page_pos", "line_no", "line", "kind", "top", "bottom", "key", "roman_value"), "edges")
     numbered = edge.where(F.col("key").rlike(_PAGE_KEY) | F.col("roman_value").isNotNull()).withColumn("value", F.coalesce("roman_value", _number(F.col("line")))).where("value is not null")
@@ -207,7 +207,7 @@ def words_of(text: DataFrame) -> DataFrame:
     """(block_id, word): the distinct words of each block that can be misread ones or models of them."""
     bare = F.regexp_replace("text", r"`[^`\n]*`|0x[0-9a-f]+", " ")
     words = text.select("block_id", F.explode(F.array_distinct(F.regexp_extract_all(bare, F.lit(_WORD), F.lit(0)))).alias("word"))
-    return words.where(F.col("word").rlike(r"^[\p{IsLatin}\p{M}0-9†!|]+$") & F.col("word").rlike(r"\p{L}") & F.length("word").between(2, 60))
+    return words.where(F.col("word").rlike(r"^[\p{IsLatin}\p{M}0-9†!|]+$") & F.col("word").rlike(r"\p{L}") & (F.length("word") >= 2))
 
 
 def corrections(words: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.arrowtext import in_parts, row_of, to_arrow, to_code_points
+from pageloom.session import materialize
 
 # Letters of other scripts drawn like a Latin letter.
 CYRILLIC = dict(zip("аеорсухѕіјһԁԛԝӏАВЕКМНОРСТУХЅІЈԚԜҮ", "aeopcyxsijhdqwlABEKMHOPCTYXSIJQWY", strict=True))
@@ -312,7 +313,8 @@ def look_alikes(df: DataFrame, key: str, text: str) -> DataFrame:
     spellings, meet.
     """
     rows = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
-    formed = unify(rows, "text", "form").select("key", F.md5("form").alias("form"), F.md5("text").alias("spelling")).distinct()
+    # written once: four joins read it, and the form is computed from whole texts
+    formed = materialize(unify(rows, "text", "form").select("key", F.unhex(F.md5("form")).alias("form"), F.unhex(F.md5("text")).alias("spelling")).distinct(), "forms")
     several = formed.groupBy("form").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo < hi").select("form")
     # the forms that occur in two spellings are few; the semi-join leaves their records only
     members = formed.join(several, "form", "left_semi")

@@ -165,6 +165,17 @@ def test_poisson_counts_match_the_distribution():
     assert mix.poisson_count(u, 1.7, 2).max() == 2 and (mix.poisson_count(u, math.inf, 3) == 3).all()
 
 
+def test_counts_by_steps_at_any_cap(spark):
+    """A cap of thousands is a list of steps, not a nested expression."""
+    docs = spark.createDataFrame([(i, "a", 10) for i in range(20)] + [(100 + i, "b", 1000) for i in range(40)], "doc long, source string, n long")
+    t = spark.createDataFrame([("m", "a", 1.0, 3000), ("m", "b", 1.0, 2)], "mix_name string, source string, target_share double, max_repeats int")
+    s = {r.source: r for r in mix.shares(mix.mix(docs, t, "doc", "source", "n"), t).collect()}
+    assert abs(s["a"].actual_share - 0.5) < 0.02
+    u = (np.arange(2000) + 0.5) / 2000
+    for rate in (0.3, 4.0, 90.0, math.inf):
+        assert (np.searchsorted(mix.steps(rate, 150), u, "right") == mix.poisson_count(u, rate, 150)).all()
+
+
 def test_mix_reaches_its_shares(spark):
     random.seed(4)
     docs = [(i, "abc"[min(2, int(random.random() * 4))], random.randint(1, 400)) for i in range(6000)]
