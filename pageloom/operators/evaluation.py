@@ -83,21 +83,78 @@ def failures(per_question: DataFrame, questions: DataFrame, k: int) -> DataFrame
     return j.select("question_id", kind.alias("failure_type"), "first_relevant_rank").where("failure_type is not null")
 
 
-def validate(questions: DataFrame, results: DataFrame, max_k: int) -> DataFrame:
-    """(code, severity, question_id): what is wrong with the inputs of an evaluation."""
-    q, r = questions.select("question_id", _ids("gold_child_ids").alias("cg"), _ids("gold_parent_ids").alias("pg")), results
-    warn = lambda df, code, severity: df.select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), "question_id")
-    twice = q.groupBy("question_id").count().where("count > 1")
-    unknown = r.select("question_id").distinct().join(q, "question_id", "left_anti")
-    missing = q.select("question_id").distinct().join(r, "question_id", "left_anti")
-    no_gold = q.where((F.size("cg") == 0) & (F.size("pg") == 0)).select("question_id").distinct()
-    few = r.groupBy("question_id").agg(F.countDistinct("rank").alias("n")).where(F.col("n") < max_k).join(q, "question_id", "left_semi")
+def validate(questions: DataFrame, results: DataFrame, ks: list[int], score_threshold: float | None = None, mode: str | None = None) -> DataFrame:
+    """(code, severity, question_id, detail): what is wrong with the inputs of an evaluation.
+
+    ``results`` are (question_id, rank, chunk_id, parent_id), several runs of a question told apart
+    by an optional ``run``. What concerns the whole input has a null question_id; an empty dataset
+    has that one warning only.
+    """
+    q = questions.select("question_id", _ids("gold_child_ids").alias("cg"), _ids("gold_parent_ids").alias("pg"))
+    r = results.where("question_id is not null")
+    warn = lambda df, code, severity, detail=None: df.select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), "question_id", (F.lit(None) if detail is None else detail).cast("string").alias("detail"))
+    one = F.lit(None).cast("string").alias("question_id")
+    whole = q.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.first("cg").alias("cg"), F.first("pg").alias("pg"))
+    runs = r.select("question_id", *(["run"] if "run" in r.columns else [])).distinct().groupBy("question_id").count()
+    asked = whole.select("question_id")
+    actual = asked.join(r.groupBy("question_id").agg(F.countDistinct("rank").alias("actual")), "question_id", "left").withColumn("actual", F.coalesce("actual", F.lit(0)))
+    few = actual.withColumn("k", F.explode(F.array(*(F.lit(k) for k in sorted({k for k in ks if k > 0}))))).where("actual < k")
+    primary = F.when(F.size("cg") > 0, F.col("cg")).otherwise(F.col("pg"))
     seen = r.groupBy("question_id").agg(F.collect_set("chunk_id").alias("c"), F.collect_set("parent_id").alias("p"))
-    none = q.join(seen, "question_id").where((F.size("cg") + F.size("pg") > 0) & (F.size(F.array_intersect("cg", "c")) == 0) & (F.size(F.array_intersect("pg", "p")) == 0)).select("question_id").distinct()
-    out = warn(twice, "duplicate_question_id", "error")
-    for df, code, severity in ((unknown, "result_without_question", "warning"), (missing, "missing_result_row", "error"), (no_gold, "missing_primary_gold", "warning"), (few, "insufficient_results_for_k", "warning"), (none, "gold_result_id_no_overlap", "warning")):
-        out = out.unionByName(warn(df, code, severity))
-    return out
+    meets = F.size(F.array_intersect(primary, F.when(F.size("cg") > 0, F.col("c")).otherwise(F.col("p")))) > 0
+    overlap = whole.join(seen, "question_id", "left").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.size(primary) > 0).alias("scored"), F.count("c").alias("seen"), F.count_if(F.coalesce(meets, F.lit(False))).alias("met"))
+    parts = [
+        warn(whole.where("n > 1"), "duplicate_question_id", "error"),
+        warn(runs.where("count > 1"), "duplicate_result_question_id", "error"),
+        warn(r.select("question_id").distinct().join(asked, "question_id", "left_anti"), "result_without_question", "warning"),
+        warn(asked.join(r, "question_id", "left_anti"), "missing_result_row", "warning"),
+        warn(whole.where((F.size("cg") == 0) & (F.size("pg") == 0)), "missing_primary_gold", "warning"),
+        warn(few, "insufficient_results_for_k", "warning", F.concat_ws("/", "actual", "k")),
+        warn(overlap.where("rows > 0 and scored = 0").select(one), "no_scored_rows", "error"),
+        warn(overlap.where("scored > 0 and seen > 0 and met = 0").select(one), "gold_result_id_no_overlap", "warning"),
+    ]
+    if score_threshold is not None and mode in ("rrf", "dense", "sparse"):
+        parts.append(warn(overlap.select(one), "score_threshold_ignored", "warning", F.lit(mode)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    filled = overlap.where("rows > 0").select(F.lit(True).alias("filled"))
+    empty = warn(overlap.where("rows = 0").select(one), "empty_dataset", "error")
+    return out.join(F.broadcast(filled)).drop("filled").unionByName(empty)  # one row or none
+
+
+def validity_summary(warnings: DataFrame, rows: int, kind: str) -> DataFrame:
+    """(evaluation_type, rows, warning_count, error_count, evaluation_valid, warning_codes) of the warnings (code, severity)."""
+    per = warnings.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity") == "error").alias("errors"))
+    codes = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("code", "n"))), lambda x: F.concat(x["code"], F.lit("="), x["n"].cast("string"))), ",")
+    out = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("warning_count"), F.coalesce(F.sum("errors"), F.lit(0)).alias("error_count"), codes.alias("warning_codes"))
+    return out.select(F.lit(kind).alias("evaluation_type"), F.lit(rows).cast("bigint").alias("rows"), "warning_count", "error_count", (F.col("error_count") == 0).alias("evaluation_valid"), "warning_codes")
+
+
+#: The columns that can give each metric a judge's row needs.
+METRIC_GROUPS = {"faithfulness": ["faithfulness"], "context_precision": ["context_precision", "llm_context_precision_with_reference"], "context_recall": ["context_recall"]}
+
+
+def validate_judged(rows: DataFrame, key: str, expected: int | None = None, groups: dict[str, list[str]] = METRIC_GROUPS) -> DataFrame:
+    """(code, severity, question_id, detail) of judged rows; values may be text.
+
+    A row without any usable value has one warning, any other one for each metric it lacks and each
+    value that is there but no number.
+    """
+    number = lambda c: F.when(~F.isnan(F.col(c).try_cast("double")), F.col(c).try_cast("double"))
+    has = {m: [c for c in names if c in rows.columns] for m, names in groups.items()}
+    usable = {m: F.coalesce(*(number(c) for c in names)).isNotNull() if names else F.lit(False) for m, names in has.items()}
+    none = ~F.greatest(*(u.cast("int") for u in usable.values())).cast("boolean")
+    item = lambda code, detail: F.struct(F.lit(code).alias("code"), F.lit(detail).cast("string").alias("detail"))
+    found = [F.when(none, item("ragas_metric_missing", None))]
+    for m, names in has.items():
+        found.append(F.when(~none & ~usable[m], item("ragas_metric_missing", m)))
+        found += [F.when(~none & usable[m] & F.col(c).isNotNull() & number(c).isNull(), item("ragas_metric_invalid", c)) for c in names]
+    out = rows.select(F.col(key).cast("string").alias("question_id"), F.explode(F.array_compact(F.array(*found))).alias("x")).select("x.code", F.lit("warning").alias("severity"), "question_id", "x.detail")
+    n = rows.agg(F.count(F.lit(1)).alias("n"))
+    whole = lambda df, code, detail: df.select(F.lit(code).alias("code"), F.lit("error").alias("severity"), F.lit(None).cast("string").alias("question_id"), detail.cast("string").alias("detail"))
+    out = out.unionByName(whole(n.where("n = 0"), "empty_ragas_results", F.lit(None)))
+    return out if expected is None else out.unionByName(whole(n.where(F.col("n") != expected), "ragas_row_count_mismatch", F.concat_ws("/", "n", F.lit(str(expected)))))
 
 
 def dataset_stats(questions: DataFrame) -> DataFrame:

@@ -627,16 +627,30 @@ def failure_cases(spark, d):
     return _tidy(evaluation.failures(evaluation.score_questions(_questions(spark, d), _results(spark, d)), _questions(spark, d), 5))
 
 
-@query(f"""
-WITH {_CANDIDATES}, {_G}, dup AS (SELECT question_id FROM eval_questions GROUP BY ALL HAVING count(*) > 1), res AS (SELECT * FROM r WHERE rank > 1 OR chunk_id IS NOT NULL)
-SELECT 'duplicate_question_id' AS code, 'error' AS severity, question_id FROM dup
-UNION ALL SELECT 'missing_result_row', 'error', question_id FROM q WHERE question_id NOT IN (SELECT question_id FROM res)
-UNION ALL SELECT 'missing_primary_gold', 'warning', question_id FROM q WHERE len(cg) = 0 AND len(pg) = 0
-UNION ALL SELECT 'insufficient_results_for_k', 'warning', question_id FROM res GROUP BY question_id HAVING count(DISTINCT rank) < 20
-UNION ALL SELECT 'gold_result_id_no_overlap', 'warning', q.question_id FROM q JOIN res ON q.question_id = res.question_id WHERE len(cg) + len(pg) > 0 GROUP BY q.question_id HAVING NOT bool_or(list_contains(cg, chunk_id) OR list_contains(pg, parent_id))""")
+_WARNINGS = f"""{_CANDIDATES}, {_G}, dup AS (SELECT question_id FROM eval_questions GROUP BY ALL HAVING count(*) > 1), res AS (SELECT * FROM r WHERE rank > 1 OR chunk_id IS NOT NULL),
+ act AS (SELECT q.question_id, count(DISTINCT rank) AS actual FROM q LEFT JOIN res USING (question_id) GROUP BY ALL),
+ warned AS (SELECT 'duplicate_question_id' AS code, 'error' AS severity, question_id, NULL::VARCHAR AS detail FROM dup
+UNION ALL SELECT 'missing_result_row', 'warning', question_id, NULL FROM q WHERE question_id NOT IN (SELECT question_id FROM res)
+UNION ALL SELECT 'missing_primary_gold', 'warning', question_id, NULL FROM q WHERE len(cg) = 0 AND len(pg) = 0
+UNION ALL SELECT 'insufficient_results_for_k', 'warning', question_id, actual || '/' || k FROM act CROSS JOIN (SELECT unnest([1, 3, 5, 10, 20]) AS k) WHERE actual < k
+UNION ALL SELECT 'score_threshold_ignored', 'warning', NULL, 'rrf'
+UNION ALL SELECT 'no_scored_rows', 'error', NULL, NULL WHERE NOT EXISTS (SELECT 1 FROM q WHERE len(cg) > 0 OR len(pg) > 0)
+UNION ALL SELECT 'gold_result_id_no_overlap', 'warning', NULL, NULL WHERE NOT EXISTS (SELECT 1 FROM q JOIN res USING (question_id) WHERE CASE WHEN len(cg) > 0 THEN list_contains(cg, chunk_id) ELSE list_contains(pg, parent_id) END))"""
+
+
+def _warnings(spark, d):
+    return evaluation.validate(table(spark, d, "eval_questions"), _results(spark, d), [1, 3, 5, 10, 20], 0.3, "rrf")
+
+
+@query(f"WITH {_WARNINGS} SELECT * FROM warned")
 def validity_warnings(spark, d):
     """Of the questions as delivered, repeated rows included."""
-    return evaluation.validate(table(spark, d, "eval_questions"), _results(spark, d), 20).distinct()
+    return _warnings(spark, d)
+
+
+@query(f"WITH {_WARNINGS}, per AS (SELECT code, count(*) AS n, count(*) FILTER (WHERE severity = 'error') AS e FROM warned GROUP BY ALL) SELECT 'retrieval' AS evaluation_type, (SELECT count(*) FROM eval_questions) AS rows, sum(n)::BIGINT AS warning_count, sum(e)::BIGINT AS error_count, sum(e) = 0 AS evaluation_valid, string_agg(code || '=' || n, ',' ORDER BY code) AS warning_codes FROM per")
+def validity_summary(spark, d):
+    return evaluation.validity_summary(_warnings(spark, d), table(spark, d, "eval_questions").count(), "retrieval")
 
 
 @query(f"""
@@ -1061,3 +1075,6 @@ def stream_event_counts(spark, d):
     name = f"stream_event_counts_{abs(hash(d)) % 10**8}"
     out = incremental.run_once(spark, incremental.windowed_counts(stream, "ts"), name, "complete")
     return out.select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+from pageloom.plans import quality  # noqa: E402, F401 - registers its queries

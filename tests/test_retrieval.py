@@ -121,7 +121,7 @@ def test_metrics(spark):
     assert m["rows"] == 3 and m["scored_rows"] == 2 and m["mrr"] == 0.5
     f = {x.question_id: x.failure_type for x in evaluation.failures(evaluation.score_questions(q, r), q, 1).collect()}
     assert f["a"] == "missed_parent" and f["b"] == "missed_source"
-    codes = {(x.code, x.question_id) for x in evaluation.validate(q, r, 3).collect()}
+    codes = {(x.code, x.question_id) for x in evaluation.validate(q, r, [1, 3]).collect()}
     assert ("missing_result_row", "c") in codes and ("missing_primary_gold", "c") in codes and ("insufficient_results_for_k", "a") in codes
 
 
