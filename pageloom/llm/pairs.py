@@ -24,7 +24,7 @@ from pageloom.llm.unify import unify_array
 # ---- empty -------------------------------------------------------------------------------------
 # What stands for an answer that isn't there, without marks and in lower case.
 PLACEHOLDERS = set(
-    "n a|na|none|null|nil|nan|tbd|tba|tbc|todo|pending|no answer|empty|blank|undefined|missing|unknown|not available|not applicable|no data|placeholder|answer|lorem ipsum|xxx|"
+    "n a|na|none|null|nil|nan|tbd|tba|tbc|todo|pending|no answer|empty|not available|not applicable|no data|placeholder|lorem ipsum|xxx|"
     "keine antwort|k a|keine angabe|leer|offen|aucune|aucune réponse|sans réponse|vide|sin respuesta|ninguna|vacío|sem resposta|nenhuma|vazio|нет ответа|нет данных|пусто|无|暂无|空|无答案|没有答案|待定|待补充|未填写|略".split("|")
 )
 _TAG = regex.compile(r"<[^<>]{0,40}>")
@@ -40,7 +40,7 @@ def is_empty(answer: str | None) -> bool:
 
 
 # ---- copy --------------------------------------------------------------------------------------
-_TOKEN = regex.compile(r"[\p{L}\p{N}]+(?:[-_][\p{L}\p{N}]+)+|\p{Han}|[\p{Hiragana}\p{Katakana}]+|[\p{L}\p{N}\p{M}]+")  # a name with hyphens is one word
+_TOKEN = regex.compile(r"[\p{L}\p{N}]++(?:[-_][\p{L}\p{N}]++)++|\p{Han}|[\p{Hiragana}\p{Katakana}]+|[\p{L}\p{N}\p{M}]+")  # a name with hyphens is one word
 # Words that frame a repeated question.
 FRAME = set("q a question answer user assistant you asked ask your was is frage antwort pregunta respuesta pergunta resposta réponse вопрос ответ 问 答 问题 回答".split())
 
@@ -88,10 +88,15 @@ def tile(answer: list[str], question: list[str], least: int = 2) -> tuple[int, i
             return sum(taken_a), sum(used_q)
 
 
+@lru_cache(1)
+def _combining() -> dict[int, None]:
+    return {c: None for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))}
+
+
 def _plain(text: str) -> str:
     """Lower case without accents and raised figures: a slightly changed question is the same."""
     low = text.lower()
-    return low if low.isascii() else "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
+    return low if low.isascii() else unicodedata.normalize("NFKD", low).translate(_combining())
 
 
 def is_copy(question: str | None, answer: str) -> bool:
@@ -118,6 +123,7 @@ _CAN_NOT = {
     "es": r"(?:\bno (?:puedo|debo|me es posible|me está permitido|estoy autorizad\w*|voy a|quiero|deseo|tengo permitido)\b|\bprefiero no\b|\bqueda fuera de\b|\bdebo (?:declinar|rechazar)\b|\bfuera de lo que\b)",
     "pt": r"(?:\bnão (?:posso|devo|me é (?:possível|permitido)|estou autorizad\w*|vou|quero|consigo|tenho permissão)\b|\bprefiro não\b|\bfora do que\b|\bdevo recusar\b|\bultrapassa o que\b)",
     "ru": r"(?:\bне (?:могу|вправе|буду|имею права|хочу|стану)\b|\bвынужден\w* отказать\w*|\bпредпочту не\b|\bвыходит за (?:рамки|пределы)\b)",
+    "ja": r"(?:できません|でき(?:かね|ない)|(?:いた)?しかねます|お断り|控えさせて|差し控え)",
     "zh": r"(?:无法(?:回答|提供|讨论|帮助|协助|就)|不能(?:回答|提供|讨论|帮助|协助|就|谈)|不便|不予|恕(?:我|难)|超出了?我|拒绝回答|不愿(?:评论|讨论|回答)|不可以(?:回答|讨论)|没有权限)",
 }
 _SPEECH = {
@@ -127,13 +133,14 @@ _SPEECH = {
     "es": r"(?:\b(?:ayudar\w*|responder\w*|contestar|hablar|comentar|opinar|tema|pregunta|eso|respuesta|pronunciarme)\b)",
     "pt": r"(?:\b(?:ajudar|responder|falar|comentar|opinar|tema|questão|pergunta|isso|resposta|assunto)\b)",
     "ru": r"(?:\b(?:ответить|отвечать|помочь|обсуждать|говорить|вопрос\w*|тему|комментировать|ответ)\b)",
+    "ja": r"(?:答え|回答|質問|手伝い|話し|説明|提供|対応|意見|コメント)",
     "zh": r"(?:回答|问题|讨论|意见|谈论|请求|帮|协助|提供|评论|话题|内容)",
 }
 #: Polite words around a refusal: they answer nothing.
 _POLITE = regex.compile(
     r"^(?:hmm+|well|ok(?:ay)?|good (?:point|question)|great question|(?:it|that|this) is an? (?:interesting|good|great|important|fair|difficult)\b.*|i appreciate\b.*|(?:i['’]m |i am |so |very )?sorry|(?:my )?apologies|unfortunately|i (?:see|understand) why you.*|i (?:hope|trust) you understand.*|(?:thank you|thanks)\b.*|let me know\b.*|please\b.*|you (?:could|can|may|might)\b.*|is there anything else.*|feel free\b.*|"
     r"danke\b.*|vielen dank\b.*|leider|es tut mir leid|bitte\b.*|ich (?:hoffe auf|bitte um)\b.*|gute frage.*|merci\b.*|(?:je suis )?désolée?|malheureusement|bonne question.*|veuillez\b.*|n['’]hésitez\b.*|gracias\b.*|lo siento|lamentablemente|buena pregunta.*|por favor\b.*|(?:muito )?obrigad[oa]\b.*|lamento|infelizmente|boa (?:pergunta|questão).*|agradeço\b.*|"
-    r"спасибо\b.*|извините|к сожалению|обратитесь\b.*|пожалуйста\b.*|хороший вопрос.*|благодарю\b.*|надеюсь\b.*|(?:感谢|谢谢|多谢).*|抱歉|对不起|很?遗憾|还?请.*|这是个?好问题|好问题|望.{0,2}谅解|敬请.*)[\s.!?,;:…–—-]*[。！？，]?$",
+    r"спасибо\b.*|извините|к сожалению|обратитесь\b.*|пожалуйста\b.*|хороший вопрос.*|благодарю\b.*|надеюсь\b.*|(?:感谢|谢谢|多谢).*|抱歉|对不起|很?遗憾|还?请.*|这是个?好问题|好问题|望.{0,2}谅解|敬请.*|申し訳(?:ありません|ございません).*|すみません.*|ごめんなさい.*|ご了承.*)[\s.!?,;:…–—-]*[。！？，]?$",
     regex.I,
 )
 #: What follows is the answer after all.
@@ -145,7 +152,7 @@ def _declines() -> list[tuple[regex.Pattern, regex.Pattern]]:
     return [(regex.compile(_CAN_NOT[k], regex.I), regex.compile(_SPEECH[k], regex.I)) for k in _CAN_NOT]
 
 
-_SELF = regex.compile(r"\b(?:I|me|my|I'm|I'd|ich|mir|mich|je|j|me|mes|yo|mi|mis|eu|me|meu|minhas?|я|мне|мой|мои|меня|this (?:request|question|topic)|ce sujet|cette question|este tema|dazu|darf|puedo|prefiero|prefiro|debo|devo|posso|могу|вправе|lamento|siento|préfère)\b|我|该问题|这个(?:请求|问题)|恕|本人", regex.I)
+_SELF = regex.compile(r"\b(?:I|me|my|I'm|I'd|ich|mir|mich|je|j|me|mes|yo|mi|mis|eu|me|meu|minhas?|я|мне|мой|мои|меня|this (?:request|question|topic)|ce sujet|cette question|este tema|dazu|darf|puedo|prefiero|prefiro|debo|devo|posso|могу|вправе|lamento|siento|préfère)\b|我|该问题|这个(?:请求|问题)|恕|本人|[おご](?:答え|回答|質問|手伝い)|この(?:質問|件|話題)|その(?:質問|件)|私|当方", regex.I)
 
 
 def declines(sentence: str) -> bool:
@@ -177,7 +184,7 @@ WORDS = {
 }
 _OWN = {w: [k for k in WORDS if w in WORDS[k]] for k in WORDS for w in WORDS[k]}
 LETTERS = {"de": "äöüß", "fr": "èêëîïûùœæ", "es": "ñ¿¡", "pt": "ãõ"}
-_NAMES = regex.compile(r"```.*?(?:```|$)|`[^`\n]*`|《[^》]*》|“[^”]{0,40}”|「[^」]*」|\b\w{1,6}\([^()\n]{0,40}\)|https?://\S+|[\p{Latin}\d_.-]*[_\d][\p{Latin}\d_.-]*", regex.S)
+_NAMES = regex.compile(r"```.*?(?:```|$)|`[^`\n]*`|《[^》]*》|“[^”]{0,40}”|「[^」]*」|\b\w{1,6}\([^()\n]{0,40}\)|https?://\S+|(?<![\p{Latin}\d_.-])[\p{Latin}.-]*+[_\d][\p{Latin}\d_.-]*", regex.S)
 _WORD = regex.compile(r"[\p{Latin}\p{M}’']+")
 _HAN, _CYRILLIC, _LATIN = regex.compile(r"\p{Han}"), regex.compile(r"\p{Cyrillic}"), regex.compile(r"\p{Latin}")
 # Names of languages, in the languages themselves.
@@ -193,6 +200,7 @@ ASKED = {
 _ASKED = {k: regex.compile(v, regex.I) for k, v in ASKED.items()}
 
 
+@lru_cache(4096)
 def language(text: str) -> str | None:
     """The language of a text, if it shows; names, numbers, code and quotations show none."""
     bare = _NAMES.sub(" ", text)
@@ -234,8 +242,27 @@ _TAILS = regex.compile(r"(?:\.\.\.|…|[,;:，；：、(（\[{“«‘„\-–
 _BREAK = regex.compile(r"[.!?。！？](?:\s|$)|[。！？]")
 
 
+# Elements that have no end, and those whose end may be left out.
+_VOID = set("br hr img input meta link wbr col area base embed source track".split())
+_OPTIONAL_END = set("p li tr td th dt dd thead tbody tfoot option".split())
+_ELEMENTS = set("table ul ol dl div span b i u em strong code pre a h1 h2 h3 h4 h5 h6 blockquote details summary sub sup kbd".split()) | _OPTIONAL_END
+_MARKUP = regex.compile(r"<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*)?(?P<own>/?)>|(?P<code>`+)|(?P<strong>\*\*|__)|(?P<mark>[()\[\]{}（）【】《》「」『』«»“”„\"])")
+
+
+def _pop(stack: list[str], name: str) -> None:
+    if name in stack:
+        while stack.pop() != name:
+            pass
+
+
 def open_ends(text: str) -> list[str]:
-    """What a pushdown parser has on its stack at the end of the text: all that was opened and not closed."""
+    """What a pushdown parser has on its stack at the end of the text: all that was opened and not closed.
+
+    Its symbols are fences, code marks, elements of markup, brackets, quotation marks and emphasis.
+    Between fences and code marks nothing else counts. A straight quotation mark opens after white
+    space or a bracket and closes after anything else; so does emphasis. Elements whose end may be
+    left out don't count at the end.
+    """
     stack: list[str] = []
     for line in text.split("\n"):
         bare = line.strip()
@@ -248,24 +275,38 @@ def open_ends(text: str) -> list[str]:
         if "```" in stack or "~~~" in stack:
             continue
         code = None
-        for c in line:
-            if c == "`":
+        for m in _MARKUP.finditer(line):
+            kind, c = m.lastgroup, m.group()
+            if m["code"]:
                 code = None if code else "`"
-            elif code:
                 continue
+            if code:
+                continue
+            before, after = line[m.start() - 1 : m.start()], line[m.end() : m.end() + 1]
+            if m["name"]:
+                name = m["name"].lower()
+                if name in _ELEMENTS and not m["own"]:
+                    if m["end"]:
+                        _pop(stack, f"<{name}>")
+                    else:
+                        stack.append(f"<{name}>")
+            elif kind == "strong" or c == '"':
+                if c in stack and before.strip():
+                    _pop(stack, c)
+                elif c not in stack and (not before or before in " \t([{（“„>—–-|*_") and after.strip() and (c == '"' or after not in "*_"):
+                    stack.append(c)
             elif c in "([{（【《「『«“„":
                 stack.append(c)
-            elif c in _CLOSES and stack:
+            elif stack:
                 if stack[-1] == _CLOSES[c] or (c in "”“" and stack[-1] in "„“"):
                     stack.pop()
-                elif c in ")]}）" and _CLOSES[c] in stack:
-                    while stack.pop() != _CLOSES[c]:
-                        pass
+                elif c in ")]}）":
+                    _pop(stack, _CLOSES[c])
             if c == "“" and len(stack) > 1 and stack[-2] == "„" and stack[-1] == "“":
                 del stack[-2:]  # the German closing mark is the English opening one
         if code:
             stack.append(code)
-    return stack
+    return [x for x in stack if x[1:-1] not in _OPTIONAL_END]
 
 
 def is_truncated(answer: str) -> bool:

@@ -172,3 +172,13 @@ def test_single_characters_that_look_usual_are_found(spark):
     got = garbled.restore(df, "doc_id", "text").collect()
     assert {texts[r.doc_id]: r.restored for r in got if r.pairs} == bad
     assert all(r.restored == texts[r.doc_id] for r in got if not r.pairs)
+
+
+def test_parser_of_markup_quotes_and_emphasis():
+    q = "What does the cache keep?"
+    whole = ['He said "the cache is small."', "<table><tr><td>a</td></tr></table>", "<ul><li>one<li>two</ul>", "It is **small** and __fast__.", 'A 5" screen is enough.', "`<b>` is a tag.", "line<br>next."]
+    broken = ['He said "the cache is small.', "<table><tr><td>one", "It is **small and fast.", "See <b>the cache.", "```\ncode", "It keeps (two entries."]
+    assert [pairs.open_ends(x) for x in whole] == [[]] * len(whole)
+    assert all(pairs.defect(q, x) == "truncated" for x in broken)
+    assert pairs.defect("What is the status?", "Unknown.") is None and pairs.defect("What is the status?", "None") == "empty"
+    assert pairs.defect("キャッシュとは何ですか。", "申し訳ありませんが、そのご質問にはお答えできません。") == "refusal"
