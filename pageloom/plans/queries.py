@@ -96,7 +96,7 @@ def page_number_lines(spark, d):
     return pages.page_number_lines(_lines(spark, d)).select("block_id", F.col("line_no").cast("bigint").alias("line_no"), "line")
 
 
-_TITLED = LINES.replace(BLOCKS, f"(SELECT block_id, source_file, page_pos, page_number, '# ' || slide_title || chr(10) || chr(10) || raw_text AS raw_text FROM {BLOCKS} WHERE slide_title IS NOT NULL)")
+_TITLED = LINES.replace(BLOCKS, f"(SELECT block_id, source_file, page_pos, page_number, coalesce('# ' || slide_title || chr(10) || chr(10), '') || raw_text AS raw_text FROM {BLOCKS})")
 
 
 @query(f"""
@@ -104,8 +104,8 @@ WITH {_TITLED}, keyed AS (SELECT block_id, line_no, CASE WHEN NOT in_fence AND {
  FROM fenced WHERE {STRIPPED} <> '')
 SELECT block_id, line_no, heading FROM (SELECT *, lag(heading) OVER (PARTITION BY block_id ORDER BY line_no) AS b FROM keyed) WHERE heading = b""")
 def duplicate_headings(spark, d):
-    """Pages with their slide title put above them, so that it repeats where the page begins with it."""
-    b = _blocks(spark, d).where("slide_title is not null").withColumn("raw_text", F.concat(F.lit("# "), "slide_title", F.lit("\n\n"), "raw_text"))
+    """All pages; a slide title is put above its page, so that it repeats where the page begins with it."""
+    b = _blocks(spark, d).withColumn("raw_text", F.concat(F.coalesce(F.concat(F.lit("# "), "slide_title", F.lit("\n\n")), F.lit("")), "raw_text"))
     return pages.duplicate_headings(pages.lines(b.select("block_id", "raw_text"), "block_id"), "block_id").select("block_id", F.col("line_no").cast("bigint").alias("line_no"), "heading")
 
 
@@ -533,7 +533,7 @@ def search_dense_mode(spark, d):
     return retrieval.search("dense", _dense(spark, d, 70), None, 20).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-_IMAGES = "im AS (SELECT doc_id, unnest(['img%20' || doc_id || '.png', 'http://x/' || doc_id || '.png', 'a.png']) AS path, unnest([0, 1, 2]) AS ref_no FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '!\\[[^\\]]*\\]\\('))"
+_IMAGES = "im AS (SELECT doc_id, unnest(['img%20' || doc_id || '.png', 'http://x/' || doc_id || '.png', 'a.png']) AS path, unnest([0, 1, 2]) AS ref_no FROM documents WHERE text IS NOT NULL)"
 
 
 def _illustrated(spark, d):
@@ -754,11 +754,11 @@ def context_stats(spark, d):
 
 @query(f"""
 WITH {_CANDIDATES}, gold AS (SELECT DISTINCT question_id AS qid, unnest(gold_parent_ids) AS doc FROM {QUESTIONS}), n AS (SELECT qid, count(*) AS n FROM gold GROUP BY ALL),
- met AS (SELECT question_id AS qid, count(DISTINCT CASE WHEN rank <= 3 THEN doc END) AS h, min(rank) AS f FROM cand JOIN gold ON gold.qid = question_id AND doc = parent_id WHERE rank % 2 = 0 GROUP BY ALL)
+ met AS (SELECT question_id AS qid, count(DISTINCT CASE WHEN rank <= 3 THEN doc END) AS h, min(rank) AS f FROM cand JOIN gold ON gold.qid = question_id AND doc = parent_id GROUP BY ALL)
 SELECT qid, CASE WHEN coalesce(h, 0) > 0 THEN 1.0 ELSE 0.0 END AS hit, round(coalesce(h, 0) / n, 6) AS doc_recall, round(coalesce(1.0 / f, 0), 6) AS mrr FROM n LEFT JOIN met USING (qid)""")
 def ablation_documents(spark, d):
-    """Every second candidate counts as found, parents as documents."""
-    hits = _candidates(spark, d).where("rank % 2 = 0").select(F.col("question_id").alias("qid"), "rank", F.col("parent_id").alias("doc"))
+    """What hybrid search found, parents as documents."""
+    hits = _candidates(spark, d).select(F.col("question_id").alias("qid"), "rank", F.col("parent_id").alias("doc"))
     gold = _questions(spark, d).select(F.col("question_id").alias("qid"), F.explode("gold_parent_ids").alias("doc"))
     return _tidy(ablation.document_scores(hits, gold, 3))
 
@@ -836,13 +836,16 @@ def skip_reasons(spark, d):
 
 
 @query("""
-WITH c AS (SELECT DISTINCT child_id, content, loaded_at FROM child_chunks), o AS (SELECT child_id, arg_min(content, loaded_at) AS content FROM c GROUP BY ALL), n AS (SELECT child_id, arg_max('new ' || content, loaded_at) AS content FROM c WHERE length(child_id) % 2 = 0 GROUP BY ALL)
+WITH c AS (SELECT child_id, content, loaded_at, min(loaded_at) OVER (PARTITION BY child_id) AS first_at FROM child_chunks), o AS (SELECT child_id, min(content) AS content FROM c WHERE loaded_at = first_at GROUP BY ALL),
+ n AS (SELECT child_id, arg_max('new ' || coalesce(content, ''), loaded_at) AS content FROM c WHERE loaded_at > first_at GROUP BY ALL)
 SELECT child_id, md5(content) AS h FROM n UNION ALL SELECT child_id, md5(content) FROM o WHERE child_id NOT IN (SELECT child_id FROM n)""")
 def upsert(spark, d):
-    """New texts for the ids of even length upserted over all chunks; rows come twice, the last counts."""
+    """What was delivered again upserted over the first deliveries; the last of several counts."""
     c = table(spark, d, "child_chunks").select("child_id", "content", "loaded_at")
-    old = c.groupBy("child_id").agg(F.min_by("content", "loaded_at").alias("content")).withColumn("loaded_at", F.lit(None).cast("timestamp_ntz"))
-    new = c.where("length(child_id) % 2 = 0").withColumn("content", F.concat(F.lit("new "), "content"))
+    first = c.groupBy("child_id").agg(F.min("loaded_at").alias("first_at"))
+    j = c.join(first, "child_id")
+    old = j.where("loaded_at = first_at").groupBy("child_id").agg(F.min("content").alias("content")).withColumn("loaded_at", F.lit(None).cast("timestamp_ntz"))
+    new = j.where("loaded_at > first_at").select("child_id", F.concat(F.lit("new "), F.coalesce("content", F.lit(""))).alias("content"), "loaded_at")
     return manifest.upsert(old, new, "child_id", "loaded_at").select("child_id", F.md5("content").alias("h"))
 
 
