@@ -54,3 +54,9 @@ def in_parts(batches, column: str, most: int = 1 << 20):
             end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + most, "right")) - 1)
             yield batch.slice(begin, min(end, n) - begin)
             begin = end
+
+
+def spread(df):
+    """``df`` in as many partitions as there are cores at least: a small file would be one task of long work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

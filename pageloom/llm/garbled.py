@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.arrowtext import in_parts, row_of, to_code_points
+from pageloom.llm.arrowtext import in_parts, row_of, spread, to_code_points
 
 # Pairs (written in, read in) that have a state of their own; the first ones are found by structure.
 UTF8_READ_IN = ("cp1252", "cp1250", "cp1251", "cp437", "cp850", "cp866", "mac-roman", "koi8-r", "gb18030", "cp932", "big5")
@@ -151,7 +151,7 @@ def train(df: DataFrame, text: str) -> Model:
     (code points below U+3100 and a dozen classes) that occurs: an alphabet's worth, whatever the
     size of the corpus.
     """
-    texts = df.select(F.col(text).alias("text")).where("text is not null")
+    texts = spread(df.select(F.col(text).alias("text")).where("text is not null"))
 
     def counted(first: Model | None) -> pd.DataFrame:
         held = df.sparkSession.sparkContext.broadcast(first) if first else None
@@ -878,6 +878,6 @@ def restore(df: DataFrame, key: str, text: str, model: Model | None = None) -> D
     One row for each row of ``df``, repeated ones included; other columns have no effect.
     """
     model = model or train(df, text)
-    rows = df.select(F.col(key).alias(key), F.col(text).alias("__text"))
+    rows = spread(df.select(F.col(key).alias(key), F.col(text).alias("__text")))
     kind = rows.schema[key].dataType.simpleString()
     return rows.mapInArrow(_restore(df.sparkSession.sparkContext.broadcast(model), [key]), f"`{key}` {kind}, restored string, pairs array<string>")
