@@ -279,10 +279,20 @@ def _sparse_sql(queries: str, text: str = "qid", x: str = "", k: int = 30) -> st
 _SPARSE = _sparse_sql(_TITLES)
 
 
+_INDEXED: dict[tuple[str, str], DataFrame] = {}
+
+
+def _postings(spark, d):
+    """The full-text index of all chunks, written once for all searches of a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXED:
+        _INDEXED[key] = materialize(retrieval.postings(_children(spark, d).where("content is not null"), "child_id", "content"), "postings")
+    return _INDEXED[key]
+
+
 def _sparse(spark, d, k=30):
     titles = _blocks(spark, d).where("slide_title is not null").select(F.col("slide_title").alias("qid")).distinct()
-    index = retrieval.postings(_children(spark, d).where("content is not null"), "child_id", "content")
-    return retrieval.sparse_search(titles.select("qid", T.tokens(F.col("qid")).alias("terms")), index, k)
+    return retrieval.sparse_search(titles.select("qid", T.tokens(F.col("qid")).alias("terms")), _postings(spark, d), k)
 
 
 @query(f"WITH {_SPARSE} SELECT qid, id, round(score, 6) AS score, rank FROM sparse")
@@ -358,7 +368,7 @@ def _candidates(spark, d):
         whole = F.col("embedding").isNotNull() & (F.size("embedding") == 64) & ~F.exists("embedding", lambda x: x.isNull()) & (F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")) > 0)
         items = c.where(whole).select(F.col("child_id").alias("id"), F.col("embedding").alias("v"))
         q = _questions(spark, d).select("question_id", "question", F.get("gold_child_ids", F.lit(0)).alias("id"))
-        index = retrieval.postings(c.where("content is not null"), "child_id", "content")
+        index = _postings(spark, d)
         top = retrieval.hybrid(q.join(items, "id", "left").select(F.col("question_id").alias("qid"), "v", F.col("question").alias("text")), items, index)
         top = top.select(F.col("qid").alias("question_id"), F.col("id").alias("child_id"), "rrf_score", "rank")
         full = top.join(q.drop("id"), "question_id").join(c.select("child_id", "parent_id", "chunk_index", "source", "source_file", "content"), "child_id")
