@@ -360,8 +360,8 @@ _CANDIDATES = f"""h_items AS MATERIALIZED (SELECT child_id AS id, embedding AS v
 _SEARCHED: dict[tuple[str, str], DataFrame] = {}
 
 
-def _candidates(spark, d):
-    """The hits of all questions, searched once for all queries of a session that start from them."""
+def _searched(spark, d):
+    """(question_id, child_id, rrf_score, rank): the hits of all questions, searched once for all queries of a session that start from them."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _SEARCHED:
         c = _children(spark, d)
@@ -370,16 +370,21 @@ def _candidates(spark, d):
         q = _questions(spark, d).select("question_id", "question", F.get("gold_child_ids", F.lit(0)).alias("id"))
         index = _postings(spark, d)
         top = retrieval.hybrid(q.join(items, "id", "left").select(F.col("question_id").alias("qid"), "v", F.col("question").alias("text")), items, index)
-        top = top.select(F.col("qid").alias("question_id"), F.col("id").alias("child_id"), "rrf_score", "rank")
-        full = top.join(q.drop("id"), "question_id").join(c.select("child_id", "parent_id", "chunk_index", "source", "source_file", "content"), "child_id")
-        _SEARCHED[key] = materialize(full, "searched")
+        _SEARCHED[key] = materialize(top.select(F.col("qid").alias("question_id"), F.col("id").alias("child_id"), "rrf_score", "rank"), "searched")
     return _SEARCHED[key]
 
 
+def _candidates(spark, d, most=None):
+    """The hits of all questions, or the first ``most`` of each, with their texts, which are joined to those that are asked for."""
+    top = _searched(spark, d) if most is None else _searched(spark, d).where(F.col("rank") <= most)
+    c = _children(spark, d).select("child_id", "parent_id", "chunk_index", "source", "source_file", "content")
+    return top.join(_questions(spark, d).select("question_id", "question"), "question_id").join(c, "child_id")
+
+
 @query(f"WITH {_CANDIDATES} SELECT question_id, child_id, round(rrf_score, 9) AS rrf_score, rank FROM cand")
 def hybrid_search(spark, d):
     """Dense and sparse search of the same chunks for every question, fused."""
-    return _candidates(spark, d).select("question_id", "child_id", F.round("rrf_score", 9).alias("rrf_score"), F.col("rank").cast("bigint").alias("rank"))
+    return _searched(spark, d).select("question_id", "child_id", F.round("rrf_score", 9).alias("rrf_score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 _OVERLAP = f"(CASE WHEN len(list_distinct({TOKENS.format('question')})) > 0 THEN len(list_intersect(list_distinct({TOKENS.format('question')}), list_distinct({TOKENS.format('content')}))) / len(list_distinct({TOKENS.format('question')})) ELSE 0.0 END)"
@@ -404,7 +409,7 @@ _MOST = f"WITH {_CANDIDATES}, top3 AS (SELECT * FROM cand WHERE rank <= 3), m AS
 
 
 def _with_most(spark, d):
-    top = _candidates(spark, d).where("rank <= 3").withColumnRenamed("question_id", "qid")
+    top = _candidates(spark, d, 3).withColumnRenamed("question_id", "qid")
     m = context.most_hits(top).withColumnRenamed("qid", "question_id")
     return _questions(spark, d).join(m, "question_id", "left")
 
@@ -444,7 +449,7 @@ SELECT question_id, parent_id, md5(CASE WHEN ok THEN coalesce({STRIP.format('pag
  row_number() OVER (PARTITION BY question_id ORDER BY ok DESC, CASE WHEN ok THEN o ELSE met END, CASE WHEN ok THEN p ELSE 0 END, CASE WHEN ok THEN parent_id ELSE '' END) AS ctx_pos FROM j""".replace(f" gone AS (SELECT DISTINCT parent_id FROM {CHILDREN} GROUP BY parent_id HAVING min(source_file) IS NULL),", ""))
 def parent_fallback(spark, d):
     """Parents of the first ten hits; those whose metadata was lost count as not stored and fall back to their last hit."""
-    hits = _candidates(spark, d).where("rank <= 10").select(F.col("question_id").alias("qid"), "rank", "parent_id", "child_id", "chunk_index", "source", F.coalesce("content", F.lit("")).alias("content"), F.col("rrf_score").alias("score"))
+    hits = _candidates(spark, d, 10).select(F.col("question_id").alias("qid"), "rank", "parent_id", "child_id", "chunk_index", "source", F.coalesce("content", F.lit("")).alias("content"), F.col("rrf_score").alias("score"))
     out = context.parents(hits, _stored(spark, d).where("metadata is not null"))
     from pyspark.sql import Window
 
@@ -526,7 +531,7 @@ def research_json(spark, d):
 @query(f"""WITH {_CANDIDATES} SELECT q.question_id AS qid, md5(coalesce(string_agg('Parent ID: ' || coalesce(parent_id, '') || chr(10) || 'File Name: ' || coalesce(source, '') || chr(10) || 'Content: ' || {STRIP.format("coalesce(content, '')")}, chr(10) || chr(10) ORDER BY rank) FILTER (WHERE rank IS NOT NULL), 'NO_RELEVANT_CHUNKS')) AS h
  FROM (SELECT question_id FROM {QUESTIONS}) q LEFT JOIN (SELECT * FROM cand WHERE rank <= 5) c USING (question_id) GROUP BY ALL""")
 def hits_text(spark, d):
-    hits = _candidates(spark, d).where("rank <= 5").withColumnRenamed("question_id", "qid")
+    hits = _candidates(spark, d, 5).withColumnRenamed("question_id", "qid")
     return context.hits_text(hits, _questions(spark, d).select(F.col("question_id").alias("qid"))).select("qid", F.md5("text").alias("h"))
 
 
@@ -585,7 +590,7 @@ _G = f"""q AS (SELECT question_id, source_file, list_distinct(list_filter(coales
 
 
 def _results(spark, d):
-    return _candidates(spark, d).where("rank <= 20").select("question_id", "rank", F.col("child_id").alias("chunk_id"), "parent_id", "source_file")
+    return _candidates(spark, d, 20).select("question_id", "rank", F.col("child_id").alias("chunk_id"), "parent_id", "source_file")
 
 
 def _per_k(k: int) -> str:
@@ -737,7 +742,7 @@ def order_metrics(spark, d):
 
 def _ablation(spark, d):
     q = _with_most(spark, d).select("question_id", context.ablation_policy(F.col("question"), F.coalesce("most_hits", F.lit(0))).alias("policy"), "question_type")
-    hits = _candidates(spark, d).where("rank <= 5").join(q, "question_id").select(F.col("question_id").alias("qid"), "rank", F.col("child_id").alias("chunk_id"), "parent_id", "policy")
+    hits = _candidates(spark, d, 5).join(q, "question_id").select(F.col("question_id").alias("qid"), "rank", F.col("child_id").alias("chunk_id"), "parent_id", "policy")
     chunks = _children(spark, d).select(F.col("child_id").alias("chunk_id"), "parent_id", F.coalesce(F.length("content"), F.lit(0)).alias("chars"))
     parents = _parents(spark, d).select("parent_id", F.coalesce(F.length("page_content"), F.lit(0)).alias("chars"))
     return q.withColumnRenamed("question_id", "qid"), ablation.context_costs(ablation.contexts(hits, chunks, parents), q.select(F.col("question_id").alias("qid")))

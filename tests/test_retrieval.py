@@ -20,6 +20,30 @@ def test_dense_search_equals_brute_force(spark):
         assert [got[q, k + 1] for k in range(4)] == order
 
 
+def test_dense_search_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(retrieval, "ITEM_BLOCK", 300)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(1500, 8)).astype(np.float32)
+    v[100:140] = v[3] * np.arange(1, 41)[:, None]  # ties go to the smaller id
+    names = [f"i{k:04d}" for k in rng.permutation(1500)]
+    df = spark.createDataFrame([(n, [float(x) for x in r]) for n, r in zip(names, v, strict=True)], "id string, v array<float>")
+    asked = df.where("id < 'i0055'").unionByName(df.where("id = 'i0007'"))  # one is given twice
+    got = {}
+    for r in retrieval.dense_search(asked, df, 30).collect():
+        got.setdefault(r.qid, set()).add((r["rank"], r.id))
+    w = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    for i, name in enumerate(names):
+        if name < "i0055" and name != "i0007":
+            s = (w @ w[i]).round(9)
+            assert got[name] == {(k + 1, names[j]) for k, j in enumerate(sorted(range(1500), key=lambda j: (-s[j], names[j]))[:30])}
+    assert len(got) == 55
+    monkeypatch.undo()
+    # 24,000 questions in 108,000 chunks: few blocks, so neither side moves many times
+    nq, ni = retrieval._pairs_of_blocks(24_000, 108_000, 6, 70)
+    assert nq * ni <= 8
+
+
 def test_sparse_search_needs_all_terms(spark):
     docs = spark.createDataFrame([(1, "the cat sat"), (2, "cat and dog"), (3, "dog far " + "x " * 200 + "cat"), (4, None), (5, "机器学习")], "id long, t string")
     index = retrieval.postings(docs.where("t is not null"), "id", "t")
