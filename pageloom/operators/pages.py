@@ -27,10 +27,12 @@ def split_pages(docs: DataFrame, key: str, text: str) -> DataFrame:
     body = docs.select(F.col(key).alias("doc"), F.coalesce(text, F.lit("")).alias("text"))
     marked = body.where(F.col("text").rlike(r"(?m)" + MARKER.replace("^", "(?:^)")))
     lines = marked.select("doc", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("number", F.regexp_extract("line", MARKER, 1).try_cast("int"))
-    up = Window.partitionBy("doc").orderBy("n").rowsBetween(0, Window.unboundedFollowing)
+    # a marker stands on the page it ends, so a page's number comes with its lines; a frame to the document's end would be read again for each line
     before = Window.partitionBy("doc").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("page", F.coalesce(F.count("number").over(before), F.lit(0))).withColumn("own", F.first("number", ignorenulls=True).over(up)).withColumn("last", F.max("number").over(Window.partitionBy("doc")))
-    pages = lines.where("number is null").groupBy("doc", "page").agg(F.max(F.coalesce("own", F.col("last") + 1)).alias("page_number"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("raw_text"))
+    lines = lines.withColumn("page", F.coalesce(F.count("number").over(before), F.lit(0)))
+    own = F.when(F.col("number").isNull(), F.struct("n", "line"))
+    pages = lines.groupBy("doc", "page").agg(F.max("number").alias("own"), F.array_join(F.transform(F.array_sort(F.collect_list(own)), lambda x: x["line"]), "\n").alias("raw_text"))
+    pages = pages.withColumn("page_number", F.coalesce("own", F.max("own").over(Window.partitionBy("doc")) + 1))
     pages = pages.where(F.col("page_number").isNotNull() & (T.strip(F.col("raw_text")) != "")).select("doc", F.col("page").cast("int").alias("page_pos"), F.col("page_number").cast("int").alias("page_number"), "raw_text")
     other = body.join(marked.select("doc"), "doc", "left_anti")
     fed = other.where(F.contains("text", F.lit("\f"))).select("doc", F.posexplode(F.split("text", "\f")).alias("page_pos", "raw_text")).where(T.strip(F.col("raw_text")) != "")

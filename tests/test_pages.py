@@ -132,3 +132,13 @@ def test_document_of_blank_feeds_is_one_empty_page(spark):
 
     got = pages.split_pages(spark.createDataFrame([("a", "\f \f\n"), ("b", "x\f\fy")], "d string, t string"), "d", "t").orderBy("d", "page_pos").collect()
     assert [(r.d, r.page_number, r.raw_text) for r in got] == [("a", None, ""), ("b", 1, "x"), ("b", 3, "y")]
+
+
+def test_split_pages_of_one_long_file(spark):
+    import time
+
+    text = "\n".join(f"{'line of text\n' * 39}--- end of page.page_number={k} ---" for k in range(1, 4001)) + "\nthe rest"
+    began = time.time()
+    got = {r.page_pos: (r.page_number, r.raw_text) for r in pages.split_pages(spark.createDataFrame([("long", text)], "doc string, text string"), "doc", "text").collect()}
+    assert time.time() - began < 60  # 160,000 lines; each read again up to the end of the file took minutes
+    assert len(got) == 4001 and got[3999][0] == 4000 and got[4000] == (4001, "the rest") and got[7] == (8, "\n".join(["line of text"] * 39))
