@@ -210,3 +210,15 @@ def test_other_columns_may_have_any_name(spark):
     assert nearest.nearest(df, "id0", "vec0", k=2, dim=2).count() == 10
     t = spark.createDataFrame([("m", "b", 1.0, 2)], "mix_name string, source string, target_share double, max_repeats int")
     assert mix.mix(df, t, "id0", "src0", "size0").count() == 10
+
+
+def test_blocks_are_not_copied_for_numbers_of_queries():
+    import numpy as np
+
+    from pageloom.llm import nearest
+
+    leaves = np.eye(64, dtype=np.float32)
+    tree = nearest.Tree(leaves[:1], leaves, np.array([0, 64]), np.zeros(1, np.float32))
+    p = nearest.plan(tree, 3, {k: 60_000 for k in range(64)}, 6)
+    assert p.blocks == 64 and p.groups == 1  # 3.8 million queries pass by each block
+    assert nearest.plan(tree, 3, {0: 100}, 6).groups == 6
