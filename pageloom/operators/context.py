@@ -139,9 +139,9 @@ def research(queries: DataFrame, candidates: DataFrame, parent_rows: DataFrame,
     """
     focus = F.coalesce("focus", F.lit(""))
     asked = queries.select("qid", F.col("query"), focus.alias("focus"), F.when(focus != "", F.concat("query", F.lit("\nFocus: "), focus)).otherwise(F.col("query")).alias("effective"))
-    left = candidates if exclude is None else candidates.join(exclude.select("qid", "parent_id").distinct(), ["qid", "parent_id"], "left_anti")
-    counts = candidates.groupBy("qid").agg(F.count(F.lit(1)).alias("child_candidates"))
-    remaining = left.groupBy("qid").agg(F.count(F.lit(1)).alias("remaining"))
+    marked = candidates.withColumn("gone", F.lit(None).cast("boolean")) if exclude is None else candidates.join(exclude.select("qid", "parent_id").distinct().withColumn("gone", F.lit(True)), ["qid", "parent_id"], "left")
+    counts = marked.groupBy("qid").agg(F.count(F.lit(1)).alias("child_candidates"), F.count_if(F.col("gone").isNull()).alias("remaining"))
+    left = marked.where("gone is null").drop("gone")
     first = Window.partitionBy("qid").orderBy("rank")
     pooled = left.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= pool).join(asked.select("qid", "effective"), "qid")
     ranked = retrieval.rerank(pooled, scorer(F.col("effective"), F.col("content")) if scorer else None, top, threshold)
@@ -159,12 +159,13 @@ def research(queries: DataFrame, candidates: DataFrame, parent_rows: DataFrame,
     keeps = asked.select("qid").join(wanted.select("qid").distinct().withColumn("keeps", F.lit(True)), "qid", "left") if wanted is not None else asked.select("qid", F.lit(None).cast("boolean").alias("keeps"))
     name, why = policy(F.col("effective"), F.coalesce("most_hits", F.lit(0)), F.coalesce("keeps", F.lit(False)), configured)
     chosen = asked.join(most_hits(hits), "qid", "left").join(keeps, "qid", "left").select("qid", "query", "focus", name.alias("policy"), why.alias("policy_reason"))
-    contexts = research_contexts(hits, chosen, parent_rows, children, wanted, window)
+    chosen = materialize(chosen, "chosen")
+    contexts = materialize(research_contexts(hits, chosen, parent_rows, children, wanted, window), "contexts")  # the results' plan and the caller's start from files, else each repeats all branches
     one = F.struct("ctx_pos", "parent_id", "source", "child_id", "chunk_index", "context_type", "content", "score")
     packed = contexts.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x.dropFields("ctx_pos")).alias("contexts"), F.array_sort(F.collect_set(F.nullif("source", F.lit("")))).alias("sources"), F.sum(F.length("content")).alias("chars"), F.count(F.lit(1)).alias("n"))
     scores = hits.groupBy("qid").agg(F.count(F.lit(1)).alias("reranked"), F.max("rerank_score").alias("best"))
     out = chosen
-    for part in (packed, ids, counts, remaining, scores):
+    for part in (packed, ids, counts, scores):
         out = out.join(part, "qid", "left")
     none = lambda c: F.coalesce(c, F.lit(0))
     low = (none("remaining") > 0) & F.lit(scorer is not None and threshold is not None)

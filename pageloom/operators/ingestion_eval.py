@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.session import materialize
+
 
 def squeezed(text: Column) -> Column:
     """White space as single spaces, none at the ends; null is the empty text."""
@@ -47,7 +49,7 @@ def score(questions: DataFrame, chunks: DataFrame, contexts: DataFrame, gold_doc
     top = marked.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("rank <= k")
     gain = F.when(F.col("gold"), 1.0 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)
     found = top.groupBy("qid", "k").agg(F.count(F.lit(1)).alias("actual"), F.countDistinct(F.when(F.col("gold"), F.col("doc"))).alias("docs"), F.count_if("gold").alias("relevant"), F.sum(gain).alias("dcg"))
-    met = contexts_of(contexts, top.select("qid", "k", "parent_id", "chunk_id"))
+    met = materialize(contexts_of(contexts, top.select("qid", "k", "parent_id", "chunk_id")), "met")  # read twice
     sizes = met.groupBy("qid", "k").agg(F.count(F.lit(1)).alias("context_count"), F.sum(F.length(F.coalesce("content", F.lit("")))).alias("context_chars"))
     read = sentences_in(met, sentences).select("qid", "k", "key").distinct().join(keys.withColumn("gold", F.lit(True)), ["qid", "key"], "left")
     read = read.groupBy("qid", "k").agg(F.count(F.lit(1)).alias("read"), F.count_if("gold").alias("hits"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pageloom.operators import evaluation, ingestion_eval, manifest, retrieval
-from pageloom.plans.queries import _CANDIDATES, _RESEARCH, BLOCKS, CHILDREN, PARENTS, QUESTIONS, _blocks, _candidates, _children, _parents, _questions, _researched, query, table
+from pageloom.plans.queries import _CANDIDATES, _RESEARCH, BLOCKS, CHILDREN, PARENTS, QUESTIONS, _asked, _blocks, _candidates, _children, _kept, _parents, _questions, _researched, query, table
 
 # A question's documents are its gold parents; their sentences are the lines of the pages.
 _NORMAL = "trim(regexp_replace(coalesce({0}, ''), '\\s+', ' ', 'g'))"
@@ -16,10 +16,12 @@ _GOLD = f"""gd AS (SELECT DISTINCT question_id AS qid, unnest(gold_parent_ids) A
 
 
 def _gold(spark, d):
-    q = _questions(spark, d)
-    docs = q.select(F.col("question_id").alias("qid"), F.explode("gold_parent_ids").alias("doc")).where("doc is not null").distinct()
+    return _asked(spark, d).select(F.col("question_id").alias("qid"), F.explode("gold_parent_ids").alias("doc")).where("doc is not null").distinct()
+
+
+def _sentences(spark, d):
     s = _parents(spark, d).select(F.col("parent_id").alias("doc"), F.posexplode(F.split("page_content", "\n")).alias("no", "text")).where(ingestion_eval.squeezed(F.col("text")) != "")
-    return docs, s.select("doc", F.concat_ws(":", "doc", "no").alias("key"), "text")
+    return s.select("doc", F.concat_ws(":", "doc", "no").alias("key"), "text")
 
 
 _KS = [1, 3, 5]
@@ -39,11 +41,11 @@ _SCORED = f"""{_RESEARCH}, {_GOLD},
 
 
 def _scores(spark, d):
-    docs, sentences = _gold(spark, d)
+    docs, sentences = _gold(spark, d), _kept(spark, d, "sentences", lambda: _sentences(spark, d))
     chunks = _candidates(spark, d).select(F.col("question_id").alias("qid"), "rank", F.col("child_id").alias("chunk_id"), "parent_id", F.col("parent_id").alias("doc"))
     _, contexts = _researched(spark, d)
     contexts = contexts.select("qid", F.col("ctx_pos").alias("context_id"), "parent_id", "child_id", F.col("parent_id").alias("doc"), "content")
-    return ingestion_eval.score(_questions(spark, d).select(F.col("question_id").alias("qid")), chunks, contexts, docs, docs.join(sentences, "doc").select("qid", "key"), sentences, _KS)
+    return ingestion_eval.score(_asked(spark, d).select(F.col("question_id").alias("qid")), chunks, contexts, docs, docs.join(sentences, "doc").select("qid", "key"), sentences, _KS)
 
 
 def _rounded(df):
@@ -75,7 +77,7 @@ def numeric_means(spark, d):
 def sentences_in_chunks(spark, d):
     """The chunks in which each line of their page stands whole."""
     c = _children(spark, d).select("child_id", F.col("parent_id").alias("doc"), "content")
-    return ingestion_eval.sentences_in(c, _gold(spark, d)[1]).select("key", "child_id")
+    return ingestion_eval.sentences_in(c, _sentences(spark, d)).select("key", "child_id")
 
 
 @query(f"""
@@ -127,7 +129,7 @@ LEFT JOIN (SELECT thread, count(DISTINCT parent_id) AS parents FROM ids JOIN t U
 def research_calls(spark, d):
     """Calls of research, what they brought and the distinct parents, by the question's file as thread."""
     r, _ = _researched(spark, d)
-    q = _questions(spark, d).select(F.col("question_id").alias("qid"), F.coalesce("source_file", F.lit("")).alias("thread"))
+    q = _asked(spark, d).select(F.col("question_id").alias("qid"), F.coalesce("source_file", F.lit("")).alias("thread"))
     return ingestion_eval.research_calls(q.join(r, "qid"))
 
 

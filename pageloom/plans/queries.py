@@ -55,6 +55,17 @@ STRIPPED = STRIP.format("line")
 PROTECTED = f"({STRIPPED} <> '' AND (regexp_matches({STRIPPED}, '^#{{1,6}}\\s+\\S|^[-*+]\\s+\\S|^\\d+[.)]\\s+\\S|^\\|.*\\|$') OR (regexp_matches({STRIPPED}, '[:：]') AND length({STRIPPED}) > 6)))"
 
 
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _kept(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries of a session read, written for the first of them; a plan that starts from it ends at its files."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _KEPT:
+        _KEPT[key] = materialize(make(), name)
+    return _KEPT[key]
+
+
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
     return pages.latest(table(spark, d, "page_blocks"), "block_id")
 
@@ -279,15 +290,9 @@ def _sparse_sql(queries: str, text: str = "qid", x: str = "", k: int = 30) -> st
 _SPARSE = _sparse_sql(_TITLES)
 
 
-_INDEXED: dict[tuple[str, str], DataFrame] = {}
-
-
 def _postings(spark, d):
-    """The full-text index of all chunks, written once for all searches of a session."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _INDEXED:
-        _INDEXED[key] = materialize(retrieval.postings(_children(spark, d).where("content is not null"), "child_id", "content"), "postings")
-    return _INDEXED[key]
+    """The full-text index of all chunks."""
+    return _kept(spark, d, "postings", lambda: retrieval.postings(_children(spark, d).where("content is not null"), "child_id", "content"))
 
 
 def _sparse(spark, d, k=30):
@@ -357,28 +362,42 @@ _CANDIDATES = f"""h_items AS MATERIALIZED (SELECT child_id AS id, embedding AS v
  h_top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rrf_score, 12) DESC, first_list, first_rank, id) AS rank FROM h_fused QUALIFY rank <= 40),
  cand AS (SELECT q.question_id, q.question, c.child_id, c.parent_id, c.chunk_index, c.source, c.source_file, c.content, t.rrf_score, t.rank
    FROM h_top t JOIN {QUESTIONS} q ON q.question_id = t.qid JOIN {CHILDREN} c ON c.child_id = t.id)"""
-_SEARCHED: dict[tuple[str, str], DataFrame] = {}
 
 
 def _searched(spark, d):
     """(question_id, child_id, rrf_score, rank): the hits of all questions, searched once for all queries of a session that start from them."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _SEARCHED:
+
+    def run():
         c = _children(spark, d)
         whole = F.col("embedding").isNotNull() & (F.size("embedding") == 64) & ~F.exists("embedding", lambda x: x.isNull()) & (F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")) > 0)
         items = c.where(whole).select(F.col("child_id").alias("id"), F.col("embedding").alias("v"))
         q = _questions(spark, d).select("question_id", "question", F.get("gold_child_ids", F.lit(0)).alias("id"))
         index = _postings(spark, d)
         top = retrieval.hybrid(q.join(items, "id", "left").select(F.col("question_id").alias("qid"), "v", F.col("question").alias("text")), items, index)
-        _SEARCHED[key] = materialize(top.select(F.col("qid").alias("question_id"), F.col("id").alias("child_id"), "rrf_score", "rank"), "searched")
-    return _SEARCHED[key]
+        return top.select(F.col("qid").alias("question_id"), F.col("id").alias("child_id"), "rrf_score", "rank")
+
+    return _kept(spark, d, "searched", run)
+
+
+def _asked(spark, d):
+    """The questions, each once."""
+    return _kept(spark, d, "asked", lambda: _questions(spark, d))
+
+
+def _chunks(spark, d):
+    """The chunks without their vectors, each once."""
+    return _kept(spark, d, "chunks", lambda: _children(spark, d).select("child_id", "parent_id", "chunk_index", "source", "source_file", "content"))
 
 
 def _candidates(spark, d, most=None):
-    """The hits of all questions, or the first ``most`` of each, with their texts, which are joined to those that are asked for."""
-    top = _searched(spark, d) if most is None else _searched(spark, d).where(F.col("rank") <= most)
-    c = _children(spark, d).select("child_id", "parent_id", "chunk_index", "source", "source_file", "content")
-    return top.join(_questions(spark, d).select("question_id", "question"), "question_id").join(c, "child_id")
+    """The hits of all questions, or the first ``most`` of each, without texts."""
+    hits = _kept(spark, d, "candidates", lambda: _searched(spark, d).where("question_id is not null").join(_chunks(spark, d).drop("content"), "child_id"))
+    return hits if most is None else hits.where(F.col("rank") <= most)
+
+
+def _texts(spark, d, most=None):
+    """The same with their texts, which are joined to those that are asked for."""
+    return _candidates(spark, d, most).join(_chunks(spark, d).select("child_id", "content"), "child_id")
 
 
 @query(f"WITH {_CANDIDATES} SELECT question_id, child_id, round(rrf_score, 9) AS rrf_score, rank FROM cand")
@@ -394,7 +413,7 @@ _OVERLAP = f"(CASE WHEN len(list_distinct({TOKENS.format('question')})) > 0 THEN
 WITH {_CANDIDATES}, s AS (SELECT question_id, child_id, rank, {_OVERLAP} AS score FROM cand WHERE content IS NOT NULL)
 SELECT question_id, child_id, round(score, 6) AS rerank_score, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, rank) AS rerank_rank FROM s WHERE score >= 0.1 QUALIFY rerank_rank <= 3""")
 def rerank_threshold_topk(spark, d):
-    c = _candidates(spark, d).where("content is not null").withColumnRenamed("question_id", "qid")
+    c = _texts(spark, d).where("content is not null").join(_asked(spark, d).select("question_id", "question"), "question_id").withColumnRenamed("question_id", "qid")
     r = retrieval.rerank(c, retrieval.overlap_score(F.col("question"), F.col("content")), 3, 0.1)
     return r.select(F.col("qid").alias("question_id"), "child_id", F.round("rerank_score", 6).alias("rerank_score"), F.col("rerank_rank").cast("bigint").alias("rerank_rank"))
 
@@ -411,7 +430,7 @@ _MOST = f"WITH {_CANDIDATES}, top3 AS (SELECT * FROM cand WHERE rank <= 3), m AS
 def _with_most(spark, d):
     top = _candidates(spark, d, 3).withColumnRenamed("question_id", "qid")
     m = context.most_hits(top).withColumnRenamed("qid", "question_id")
-    return _questions(spark, d).join(m, "question_id", "left")
+    return _asked(spark, d).join(m, "question_id", "left")
 
 
 @query(f"""{_MOST}
@@ -449,7 +468,7 @@ SELECT question_id, parent_id, md5(CASE WHEN ok THEN coalesce({STRIP.format('pag
  row_number() OVER (PARTITION BY question_id ORDER BY ok DESC, CASE WHEN ok THEN o ELSE met END, CASE WHEN ok THEN p ELSE 0 END, CASE WHEN ok THEN parent_id ELSE '' END) AS ctx_pos FROM j""".replace(f" gone AS (SELECT DISTINCT parent_id FROM {CHILDREN} GROUP BY parent_id HAVING min(source_file) IS NULL),", ""))
 def parent_fallback(spark, d):
     """Parents of the first ten hits; those whose metadata was lost count as not stored and fall back to their last hit."""
-    hits = _candidates(spark, d, 10).select(F.col("question_id").alias("qid"), "rank", "parent_id", "child_id", "chunk_index", "source", F.coalesce("content", F.lit("")).alias("content"), F.col("rrf_score").alias("score"))
+    hits = _texts(spark, d, 10).select(F.col("question_id").alias("qid"), "rank", "parent_id", "child_id", "chunk_index", "source", F.coalesce("content", F.lit("")).alias("content"), F.col("rrf_score").alias("score"))
     out = context.parents(hits, _stored(spark, d).where("metadata is not null"))
     from pyspark.sql import Window
 
@@ -467,11 +486,11 @@ _EXCLUDE = f"(SELECT DISTINCT question_id AS qid, unnest(gold_parent_ids) AS par
 
 
 def _researched(spark, d):
-    q = _questions(spark, d)
+    q = _asked(spark, d)
     keep = q.select(F.col("question_id").alias("qid"), F.get("gold_parent_ids", F.lit(1)).alias("parent_id"), F.lit(0).alias("pos")).where("parent_id is not null")
     exclude = q.where(F.coalesce(F.size("gold_child_ids"), F.lit(0)) <= 0).select(F.col("question_id").alias("qid"), F.explode("gold_parent_ids").alias("parent_id"))
     asked = q.select(F.col("question_id").alias("qid"), F.col("question").alias("query"), F.col("question_type").alias("focus"))
-    return context.research(asked, _candidates(spark, d).withColumnRenamed("question_id", "qid").drop("question"), _stored(spark, d), _children(spark, d), retrieval.overlap_score, keep, exclude)
+    return context.research(asked, _texts(spark, d).withColumnRenamed("question_id", "qid"), _stored(spark, d), _chunks(spark, d), retrieval.overlap_score, keep, exclude)
 
 
 _EFFECTIVE = "CASE WHEN coalesce(question_type, '') <> '' THEN question || chr(10) || 'Focus: ' || question_type ELSE question END"
@@ -531,8 +550,8 @@ def research_json(spark, d):
 @query(f"""WITH {_CANDIDATES} SELECT q.question_id AS qid, md5(coalesce(string_agg('Parent ID: ' || coalesce(parent_id, '') || chr(10) || 'File Name: ' || coalesce(source, '') || chr(10) || 'Content: ' || {STRIP.format("coalesce(content, '')")}, chr(10) || chr(10) ORDER BY rank) FILTER (WHERE rank IS NOT NULL), 'NO_RELEVANT_CHUNKS')) AS h
  FROM (SELECT question_id FROM {QUESTIONS}) q LEFT JOIN (SELECT * FROM cand WHERE rank <= 5) c USING (question_id) GROUP BY ALL""")
 def hits_text(spark, d):
-    hits = _candidates(spark, d, 5).withColumnRenamed("question_id", "qid")
-    return context.hits_text(hits, _questions(spark, d).select(F.col("question_id").alias("qid"))).select("qid", F.md5("text").alias("h"))
+    hits = _texts(spark, d, 5).withColumnRenamed("question_id", "qid")
+    return context.hits_text(hits, _asked(spark, d).select(F.col("question_id").alias("qid"))).select("qid", F.md5("text").alias("h"))
 
 
 @query(f"""
@@ -620,7 +639,7 @@ def _tidy(df):
 
 @query(f"{_SCORES} SELECT * FROM scores")
 def retrieval_metrics(spark, d):
-    return _tidy(evaluation.score_questions(_questions(spark, d), _results(spark, d)))
+    return _tidy(evaluation.score_questions(_asked(spark, d), _results(spark, d)))
 
 
 _AGG = ["avg(mrr) FILTER (WHERE scored) AS mrr"]
@@ -632,14 +651,14 @@ for _k in evaluation.K_VALUES:
 
 @query(f"{_SCORES} SELECT metric, round(value, 4) AS value FROM (UNPIVOT (SELECT {', '.join(_AGG)}, count(*)::DOUBLE AS rows, count(*) FILTER (WHERE scored)::DOUBLE AS scored_rows, CASE WHEN count(*) FILTER (WHERE scored) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS evaluation_valid FROM scores) ON COLUMNS(*) INTO NAME metric VALUE value)")
 def metric_means(spark, d):
-    m = evaluation.aggregate_scores(_tidy(evaluation.score_questions(_questions(spark, d), _results(spark, d))))
+    m = evaluation.aggregate_scores(_tidy(evaluation.score_questions(_asked(spark, d), _results(spark, d))))
     return m.select("metric", F.round("value", 4).alias("value"))
 
 
 @query(f"""{_SCORES} SELECT * FROM (SELECT s.question_id, CASE WHEN q.source_file IS NOT NULL AND q.source_file <> '' AND source_hitrate_5 = 0 THEN 'missed_source' WHEN has_parent_gold AND parent_recall_5 = 0 THEN 'missed_parent'
  WHEN has_child_gold AND child_recall_5 = 0 THEN 'missed_child' WHEN first_relevant_rank > 3 THEN 'bad_ranking' END AS failure_type, first_relevant_rank FROM scores s JOIN q USING (question_id)) WHERE failure_type IS NOT NULL""")
 def failure_cases(spark, d):
-    return _tidy(evaluation.failures(evaluation.score_questions(_questions(spark, d), _results(spark, d)), _questions(spark, d), 5))
+    return _tidy(evaluation.failures(evaluation.score_questions(_asked(spark, d), _results(spark, d)), _asked(spark, d), 5))
 
 
 _WARNINGS = f"""{_CANDIDATES}, {_G}, dup AS (SELECT question_id FROM eval_questions GROUP BY ALL HAVING count(*) > 1), res AS (SELECT * FROM r WHERE rank > 1 OR chunk_id IS NOT NULL),
@@ -743,7 +762,7 @@ def order_metrics(spark, d):
 def _ablation(spark, d):
     q = _with_most(spark, d).select("question_id", context.ablation_policy(F.col("question"), F.coalesce("most_hits", F.lit(0))).alias("policy"), "question_type")
     hits = _candidates(spark, d, 5).join(q, "question_id").select(F.col("question_id").alias("qid"), "rank", F.col("child_id").alias("chunk_id"), "parent_id", "policy")
-    chunks = _children(spark, d).select(F.col("child_id").alias("chunk_id"), "parent_id", F.coalesce(F.length("content"), F.lit(0)).alias("chars"))
+    chunks = _chunks(spark, d).select(F.col("child_id").alias("chunk_id"), "parent_id", F.coalesce(F.length("content"), F.lit(0)).alias("chars"))
     parents = _parents(spark, d).select("parent_id", F.coalesce(F.length("page_content"), F.lit(0)).alias("chars"))
     return q.withColumnRenamed("question_id", "qid"), ablation.context_costs(ablation.contexts(hits, chunks, parents), q.select(F.col("question_id").alias("qid")))
 
@@ -774,7 +793,7 @@ SELECT qid, CASE WHEN coalesce(h, 0) > 0 THEN 1.0 ELSE 0.0 END AS hit, round(coa
 def ablation_documents(spark, d):
     """What hybrid search found, parents as documents."""
     hits = _candidates(spark, d).select(F.col("question_id").alias("qid"), "rank", F.col("parent_id").alias("doc"))
-    gold = _questions(spark, d).select(F.col("question_id").alias("qid"), F.explode("gold_parent_ids").alias("doc"))
+    gold = _asked(spark, d).select(F.col("question_id").alias("qid"), F.explode("gold_parent_ids").alias("doc"))
     return _tidy(ablation.document_scores(hits, gold, 3))
 
 

@@ -1,9 +1,12 @@
 import json
+import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pageloom.operators import context, evaluation, retrieval
+from pageloom.plans import queries
 
 
 def test_dense_search_equals_brute_force(spark):
@@ -181,3 +184,16 @@ def test_ablation(spark):
     except ValueError:
         return
     raise AssertionError
+
+
+#: The most joins and windows that the plans of the queries that start from hybrid search have; the driver's memory follows them.
+PLANS = {
+    "ablation_contexts": 12, "context_stats": 13, "ablation_documents": 3, "context_policy": 2, "ablation_policy": 2, "hits_text": 3, "parent_fallback": 4, "retrieval_metrics": 2, "metric_means": 2, "failure_cases": 3, "validity_summary": 6,
+    "validity_warnings": 6, "rerank_threshold_topk": 3, "threshold_or_unknown": 1, "research_contexts": 1, "research": 7, "research_json": 7, "research_calls": 6, "ingestion_scores": 14, "ingestion_summary": 14, "numeric_means": 14,
+}
+
+
+@pytest.mark.parametrize("name", PLANS)
+def test_plans_start_from_written_tables(name, spark, sf):
+    plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\bJoin\b|\bWindow \[", plan)) <= PLANS[name]
