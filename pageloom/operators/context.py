@@ -132,7 +132,8 @@ def research(queries: DataFrame, candidates: DataFrame, parent_rows: DataFrame,
     """(results, contexts): research of a batch of queries from what a search found for them.
 
     ``queries`` are (qid, query, focus), ``candidates`` (qid, rank, child_id, parent_id, chunk_index,
-    source, content, rrf_score). Candidates of excluded parents go; of the first ``pool`` the scorer,
+    source, content, rrf_score); without content it is joined from ``children`` where it is needed, so
+    texts don't move with every candidate. Candidates of excluded parents go; of the first ``pool`` the scorer,
     a function of the query's and the content's column, leaves the best ``top`` at or above the
     threshold. Parents asked to be kept join them. A policy chooses children, neighbours or parents
     as contexts. Every query has one result, also one that found nothing.
@@ -144,7 +145,13 @@ def research(queries: DataFrame, candidates: DataFrame, parent_rows: DataFrame,
     left = marked.where("gone is null").drop("gone")
     first = Window.partitionBy("qid").orderBy("rank")
     pooled = left.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= pool).join(asked.select("qid", "effective"), "qid")
-    ranked = retrieval.rerank(pooled, scorer(F.col("effective"), F.col("content")) if scorer else None, top, threshold)
+    bare, texts = "content" not in candidates.columns, children.select("child_id", "content")
+    if scorer:
+        pooled = (pooled.join(texts, "child_id") if bare else pooled).withColumn("scored", scorer(F.col("effective"), F.col("content")))
+    pooled = pooled.drop("effective", *["content"] * bare)
+    ranked = retrieval.rerank(pooled, F.col("scored") if scorer else None, top, threshold)
+    if bare:
+        ranked = ranked.join(texts, "child_id")
     if scorer:
         ranked = ranked.drop("rank").withColumnRenamed("rerank_rank", "rank").withColumn("score", context_score(F.col("rerank_score"), F.col("rrf_score")))
     else:

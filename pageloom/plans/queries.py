@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import text as T
 from pageloom.operators import ablation, agent, chunking, clean, context, courses, evaluation, images, manifest, pages, retrieval, sessions
-from pageloom.session import materialize, table
+from pageloom.session import materialize, scratch, table
 from pageloom.sources import readers, sinks
 from pageloom.streaming import incremental
 
@@ -62,7 +62,9 @@ def _kept(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame])
     """A table that several queries of a session read, written for the first of them; a plan that starts from it ends at its files."""
     key = (spark.sparkContext.applicationId, d, name)
     if key not in _KEPT:
-        _KEPT[key] = materialize(make(), name)
+        with scratch(spark):
+            made = make()
+            _KEPT[key] = materialize(made, name, lasting=True)
     return _KEPT[key]
 
 
@@ -395,7 +397,7 @@ def _candidates(spark, d, most=None):
     return hits if most is None else hits.where(F.col("rank") <= most)
 
 
-def _texts(spark, d, most=None):
+def _texts(spark, d, most):
     """The same with their texts, which are joined to those that are asked for."""
     return _candidates(spark, d, most).join(_chunks(spark, d).select("child_id", "content"), "child_id")
 
@@ -413,7 +415,8 @@ _OVERLAP = f"(CASE WHEN len(list_distinct({TOKENS.format('question')})) > 0 THEN
 WITH {_CANDIDATES}, s AS (SELECT question_id, child_id, rank, {_OVERLAP} AS score FROM cand WHERE content IS NOT NULL)
 SELECT question_id, child_id, round(score, 6) AS rerank_score, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, rank) AS rerank_rank FROM s WHERE score >= 0.1 QUALIFY rerank_rank <= 3""")
 def rerank_threshold_topk(spark, d):
-    c = _texts(spark, d).where("content is not null").join(_asked(spark, d).select("question_id", "question"), "question_id").withColumnRenamed("question_id", "qid")
+    c = _candidates(spark, d).select("question_id", "child_id", "rank").join(_asked(spark, d).select("question_id", "question"), "question_id").withColumnRenamed("question_id", "qid")
+    c = c.join(_chunks(spark, d).where("content is not null").select("child_id", "content"), "child_id")
     r = retrieval.rerank(c, retrieval.overlap_score(F.col("question"), F.col("content")), 3, 0.1)
     return r.select(F.col("qid").alias("question_id"), "child_id", F.round("rerank_score", 6).alias("rerank_score"), F.col("rerank_rank").cast("bigint").alias("rerank_rank"))
 
@@ -490,7 +493,7 @@ def _researched(spark, d):
     keep = q.select(F.col("question_id").alias("qid"), F.get("gold_parent_ids", F.lit(1)).alias("parent_id"), F.lit(0).alias("pos")).where("parent_id is not null")
     exclude = q.where(F.coalesce(F.size("gold_child_ids"), F.lit(0)) <= 0).select(F.col("question_id").alias("qid"), F.explode("gold_parent_ids").alias("parent_id"))
     asked = q.select(F.col("question_id").alias("qid"), F.col("question").alias("query"), F.col("question_type").alias("focus"))
-    return context.research(asked, _texts(spark, d).withColumnRenamed("question_id", "qid"), _stored(spark, d), _chunks(spark, d), retrieval.overlap_score, keep, exclude)
+    return context.research(asked, _candidates(spark, d).withColumnRenamed("question_id", "qid"), _stored(spark, d), _chunks(spark, d), retrieval.overlap_score, keep, exclude)
 
 
 _EFFECTIVE = "CASE WHEN coalesce(question_type, '') <> '' THEN question || chr(10) || 'Focus: ' || question_type ELSE question END"

@@ -1,4 +1,5 @@
 import json
+import os
 import re
 
 import numpy as np
@@ -130,6 +131,28 @@ def test_research_keeps_and_excludes(spark):
     assert c["k"][0].context_type == "child" and r["k"].diagnostics.context_policy_reason == "configured_policy"
 
 
+def test_research_joins_texts_that_candidates_lack(spark):
+    q = spark.createDataFrame([("a", "alpha", None), ("b", "beta", None)], "qid string, query string, focus string")
+    children = spark.createDataFrame([("c0", "p1", 0, "f.md", "alpha one"), ("c1", "p1", 1, "f.md", None), ("c2", "p2", 0, "g.md", "beta two")], "child_id string, parent_id string, chunk_index int, source string, content string")
+    parents = spark.createDataFrame([("p1", "whole", "f.md")], "parent_id string, page_content string, source string")
+    ranks = spark.createDataFrame([("a", 1, "c1", 0.5), ("a", 2, "c0", 0.4), ("a", 3, "c2", 0.3), ("b", 1, "c2", 0.5)], "qid string, rank int, child_id string, rrf_score double")
+    full = ranks.join(children, "child_id")
+    for scorer in (retrieval.overlap_score, None):
+        with_texts, without = ([sorted(map(repr, x.collect())) for x in context.research(q, h, parents, children, scorer)] for h in (full, full.drop("content")))
+        assert with_texts == without and with_texts[1]
+
+
+def test_scratch_tables_go(spark):
+    from pageloom import session
+
+    with session.scratch(spark):
+        a, b = session.materialize(spark.range(5), "a"), session.materialize(spark.range(7).repartition(3), "b", lasting=True)
+        gone, kept = a.inputFiles()[0], b.inputFiles()[0]
+        assert a.count() == 5
+    there = lambda f: os.path.exists(f.removeprefix("file://"))
+    assert not there(gone) and there(kept) and b.count() == 7
+
+
 def test_hooks_and_thresholds(spark):
     hits = spark.createDataFrame([(1, None), (2, 0.5), (3, 0.1)], "id int, score double")
     assert {x.id for x in retrieval.at_least_or_unknown(hits, "score", 0.3).collect()} == {1, 2} and retrieval.at_least_or_unknown(hits, "score", None).count() == 3
