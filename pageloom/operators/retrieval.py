@@ -185,6 +185,7 @@ def dense_search(queries: DataFrame, items: DataFrame, k: int, exclude_self: boo
     sent = sent.repartitionById(nq * ni, "task").sortWithinPartitions("task", "role", "chunk")
     found = sent.mapInArrow(_score_blocks(most, code), "chunk long, qs binary, ns binary, scores binary")
     found = found.repartition(max(1, min(nq * chunks, 4000)), "chunk").sortWithinPartitions("chunk").mapInArrow(_merge_blocks(most), "q long, n long, score double, rank int")
+    found = materialize(found, "found")  # the moved vectors go from disk before the ids come
     out = found.join(right.select("n", "id"), "n").join(left.select("q", F.col("id").alias("qid")).distinct(), "q").select("qid", "id", "score", "rank")
     if not exclude_self:
         return out

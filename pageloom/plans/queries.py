@@ -375,7 +375,8 @@ def _searched(spark, d):
         items = c.where(whole).select(F.col("child_id").alias("id"), F.col("embedding").alias("v"))
         q = _questions(spark, d).select("question_id", "question", F.get("gold_child_ids", F.lit(0)).alias("id"))
         index = _postings(spark, d)
-        top = retrieval.hybrid(q.join(items, "id", "left").select(F.col("question_id").alias("qid"), "v", F.col("question").alias("text")), items, index)
+        asked = materialize(q.join(items, "id", "left").select(F.col("question_id").alias("qid"), "v", F.col("question").alias("text")), "questions")  # both searches start from it
+        top = retrieval.hybrid(asked, items, index)
         return top.select(F.col("qid").alias("question_id"), F.col("id").alias("child_id"), "rrf_score", "rank")
 
     return _kept(spark, d, "searched", run)

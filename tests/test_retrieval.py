@@ -220,3 +220,25 @@ PLANS = {
 def test_plans_start_from_written_tables(name, spark, sf):
     plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"\bJoin\b|\bWindow \[", plan)) <= PLANS[name]
+
+
+def written_for(name, spark, sf, monkeypatch, place):
+    """The names of the tables that a query writes when no other ran before, and the input files of each."""
+    place.symlink_to(sf)
+    written = {}
+    for module in (queries, retrieval, context):
+        keep = module.materialize
+
+        def note(df, table, *args, keep=keep, **kwargs):
+            written[table] = df.inputFiles()
+            return keep(df, table, *args, **kwargs)
+
+        monkeypatch.setattr(module, "materialize", note)
+    queries.QUERIES[name](spark, str(place)).collect()
+    return written
+
+
+def test_search_starts_from_written_questions(spark, sf, monkeypatch, tmp_path):
+    written = written_for("context_policy", spark, sf, monkeypatch, tmp_path / "own")
+    again = [t for t in ("queries", "known", "searched") if any("child_chunks" in f or "eval_questions" in f for f in written[t])]
+    assert not again  # else every part of the plan deals all vectors again
