@@ -432,9 +432,14 @@ _MOST = f"WITH {_CANDIDATES}, top3 AS (SELECT * FROM cand WHERE rank <= 3), m AS
 
 
 def _with_most(spark, d):
-    top = _candidates(spark, d, 3).withColumnRenamed("question_id", "qid")
-    m = context.most_hits(top).withColumnRenamed("qid", "question_id")
-    return _asked(spark, d).join(m, "question_id", "left")
+    """The questions with most_hits of their first three hits, for which neither texts of chunks nor later hits are written."""
+
+    def run():
+        first = _searched(spark, d).where("question_id is not null and rank <= 3").select(F.col("question_id").alias("qid"), "child_id")
+        m = context.most_hits(first.join(_children(spark, d).select("child_id", "parent_id"), "child_id")).withColumnRenamed("qid", "question_id")
+        return _questions(spark, d).select("question_id", "question", "question_type").join(m, "question_id", "left")
+
+    return _kept(spark, d, "with_most", run)
 
 
 @query(f"""{_MOST}

@@ -242,3 +242,8 @@ def test_search_starts_from_written_questions(spark, sf, monkeypatch, tmp_path):
     written = written_for("context_policy", spark, sf, monkeypatch, tmp_path / "own")
     again = [t for t in ("queries", "known", "searched") if any("child_chunks" in f or "eval_questions" in f for f in written[t])]
     assert not again  # else every part of the plan deals all vectors again
+
+
+def test_policies_need_first_hits_only(spark, sf, monkeypatch, tmp_path):
+    written = written_for("ablation_policy", spark, sf, monkeypatch, tmp_path / "own")
+    assert "searched" in written and not {"chunks", "candidates"} & set(written)  # texts of all chunks, all hits again
