@@ -192,10 +192,28 @@ def dense_search(queries: DataFrame, items: DataFrame, k: int, exclude_self: boo
     return top_k(out.where("qid <> id").drop("rank"), k, ["qid"], [F.desc(F.round("score", 9)), "id"])
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, term, positions) of texts (id, terms): one sort of a batch's terms in place of a group for each."""
+    for batch in batches:
+        texts = batch.column(1)
+        length = pc.fill_null(pc.list_value_length(texts), 0).to_numpy()
+        terms = texts.flatten().dictionary_encode()
+        if not len(terms):
+            continue
+        row = np.repeat(np.arange(len(length)), length)
+        pos = np.arange(1, len(row) + 1) - np.repeat(np.cumsum(length) - length, length)
+        code = terms.indices.to_numpy()
+        order = np.lexsort((code, row))  # stable, so positions ascend
+        r, c = row[order], code[order]
+        first = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (c[1:] != c[:-1])))
+        positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(r)), pa.int32()), pa.array(pos[order], pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r[first])), terms.dictionary.take(pa.array(c[first])), positions], ["id", "term", "positions"])
+
+
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, term, positions): where every term stands in every text, from 1."""
-    terms = df.select(F.col(key).alias("id"), F.posexplode(T.tokens(F.col(text))).alias("pos", "term"))
-    return terms.groupBy("id", "term").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"))
+    """(id, term, positions): where every term stands in every text, from 1. A key is given once, as in ``pages.latest``."""
+    terms = df.select(F.col(key).alias("id"), T.tokens(F.col(text)).alias("terms"))
+    return terms.mapInArrow(_places, f"id {terms.schema['id'].dataType.simpleString()}, term string, positions array<int>")
 
 
 def _of_terms(index: DataFrame, terms: DataFrame) -> DataFrame:

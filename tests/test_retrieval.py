@@ -56,6 +56,13 @@ def test_sparse_search_needs_all_terms(spark):
     assert got == [("a", 2, 1), ("a", 3, 2), ("b", 1, 1), ("b", 2, 2), ("b", 3, 3), ("d", 5, 1)]
 
 
+def test_postings_without_a_group_for_each_term(spark):
+    docs = spark.createDataFrame([("a", "b a b, B a-b"), ("b", None), ("c", ""), ("d", "机器 b 机"), (None, "x")], "id string, t string")
+    index = retrieval.postings(docs, "id", "t")
+    assert sorted((str(r.id), r.term, r.positions) for r in index.collect()) == [("None", "x", [1]), ("a", "a", [2, 5]), ("a", "b", [1, 3, 4, 6]), ("d", "b", [3]), ("d", "器", [2]), ("d", "机", [1, 4])]
+    assert "Aggregate" not in index._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_fusion_order(spark):
     dense = spark.createDataFrame([("q", "d1", 1), ("q", "d2", 2), ("q", "d3", 3)], "qid string, id string, rank int")
     sparse = spark.createDataFrame([("q", "d2", 1), ("q", "d4", 2), ("q", "d1", 3), ("q", "d2", 9)], "qid string, id string, rank int")
